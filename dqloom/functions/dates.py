@@ -59,10 +59,14 @@ def parse_format(c: Column, fmt: str) -> Column:
     return F.try_to_timestamp(c, F.lit(spark_pattern(fmt)))
 
 
-def parse_date_part(c: Column, fmt: str) -> Column:
-    """Parse under one format; a trailing time of day is allowed and dropped."""
+def without_clock(c: Column) -> Column:
+    """Date text with a trailing time of day removed."""
+    return F.regexp_replace(c, TIME_SUFFIX + "$", "")
+
+
+def parse_date_part(bare: Column, fmt: str) -> Column:
+    """Parse date text under one format; the shape is tested first, as it is cheaper."""
     shape = dict(DATE_FORMATS).get(fmt, r"\d{8}")
-    bare = F.regexp_replace(c, TIME_SUFFIX + "$", "")
     return F.when(bare.rlike(f"^{shape}$"), parse_format(bare, fmt))
 
 
@@ -74,13 +78,12 @@ def parse_any(c: Column) -> Column:
                    r"(?:Z|[+-]\d{2}:?\d{2})?)?$"),
         text.try_cast("timestamp"),
     )
+    bare = without_clock(text)
     clock = F.regexp_extract(text, r"[ T](\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?)$", 1)
     order = ["%Y/%m/%d", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y", "%d.%m.%Y",
-             "%d-%b-%Y", "%d %b %Y", "%d %B %Y", "%B %d, %Y"]
-    day = F.coalesce(*[parse_date_part(text, fmt) for fmt in order],
-                     F.when(text.rlike(r"^\d{8}$"), parse_format(text, COMPACT_FORMAT)))
-    day_text = F.date_format(day, "yyyy-MM-dd")
-    with_clock = F.concat(day_text, F.lit(" "), clock).try_cast("timestamp")
+             "%d-%b-%Y", "%d %b %Y", "%d %B %Y", "%B %d, %Y", COMPACT_FORMAT]
+    day = F.coalesce(*[parse_date_part(bare, fmt) for fmt in order])
+    with_clock = F.concat(F.date_format(day, "yyyy-MM-dd "), clock).try_cast("timestamp")
     return F.coalesce(iso, F.when(clock == "", day).otherwise(with_clock))
 
 

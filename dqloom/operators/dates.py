@@ -84,22 +84,25 @@ def detect_formats(values: DataFrame, fields: Sequence[Field]) -> DataFrame:
     survivors = survivors.withColumn("compact_ok", compact_ok)
     # One row per table column on the broadcast side.
     trial = shaped.join(F.broadcast(survivors.select("pos", "compact_ok")), "pos")
-    t = F.col("text")
+    t, bare = F.col("text"), F.col("bare")
     formats = [fmt for fmt, _ in dt.DATE_FORMATS]
     rate_columns = [
-        (F.count_if(dt.parse_date_part(t, fmt).isNotNull()) / F.count(F.lit(1)) * 100).alias(fmt)
-        for fmt in formats
+        (F.count_if(dt.parse_date_part(bare, fmt).isNotNull()) / F.count(F.lit(1)) * 100).alias(
+            f"rate_{i}")
+        for i, fmt in enumerate(formats)
     ]
-    compact = F.count_if(F.col("compact_ok") & dt.parse_format(t, dt.COMPACT_FORMAT).isNotNull())
+    compact = F.count_if(F.col("compact_ok") & dt.parse_date_part(bare, dt.COMPACT_FORMAT).isNotNull())
     part = r"^(\d{1,2})[-/.](\d{1,2})[-/.]"
-    distinct = trial.groupBy("pos", "text", "compact_ok").agg(F.sum("cnt").alias("cnt"))
+    distinct = trial.select("pos", "text", "compact_ok").distinct().withColumn(
+        "bare", dt.without_clock(t)
+    )
     rates = distinct.groupBy("pos").agg(
         *rate_columns,
-        (compact / F.count(F.lit(1)) * 100).alias(dt.COMPACT_FORMAT),
+        (compact / F.count(F.lit(1)) * 100).alias(f"rate_{len(formats)}"),
         F.max(F.regexp_extract(t, part, 1).try_cast("int")).alias("first_part"),
         F.max(F.regexp_extract(t, part, 2).try_cast("int")).alias("second_part"),
     )
-    every = {fmt: F.col(f"`{fmt}`") for fmt in [*formats, dt.COMPACT_FORMAT]}
+    every = {fmt: F.col(f"rate_{i}") for i, fmt in enumerate([*formats, dt.COMPACT_FORMAT])}
     zero = F.lit(0)
     choice = _format_choice(
         every, F.coalesce("first_part", zero), F.coalesce("second_part", zero)
@@ -117,13 +120,11 @@ def detect_formats(values: DataFrame, fields: Sequence[Field]) -> DataFrame:
     )
 
 
-def parse_detected(text: Column, fmt: Column) -> Column:
-    """Parse text under the format found for its column."""
-    tests = [f for f, _ in dt.DATE_FORMATS] + [dt.COMPACT_FORMAT]
-    out = F.when(F.lit(False), F.lit(None).cast("timestamp"))
-    for f in tests:
-        out = out.when(fmt == f, dt.parse_date_part(text, f))
-    return out
+def detected_pattern(fmt: Column) -> Column:
+    """The Spark pattern of a detected format."""
+    known = [f for f, _ in dt.DATE_FORMATS] + [dt.COMPACT_FORMAT]
+    pairs = [F.lit(x) for f in known for x in (f, dt.spark_pattern(f))]
+    return F.element_at(F.create_map(*pairs), fmt)
 
 
 def date_statistics(
@@ -131,9 +132,17 @@ def date_statistics(
 ) -> DataFrame:
     """D3 per position of date-like text."""
     # One row per date-like table column on the broadcast side.
-    parsed = values.join(F.broadcast(detected.drop("column_name")), "pos").withColumn(
-        "text", strip(F.col("value"))
-    ).withColumn("ts", parse_detected(F.col("text"), F.col("detected_format")))
+    patterns = detected.drop("column_name").withColumn(
+        "pattern", detected_pattern(F.col("detected_format"))
+    )
+    dated = values.join(F.broadcast(patterns), "pos").withColumn("text", strip(F.col("value")))
+    parsed = dated.withColumn(
+        "ts",
+        F.when(
+            F.col("text").rlike(dt.DATE_SHAPE),
+            F.try_to_timestamp(dt.without_clock(F.col("text")), F.col("pattern")),
+        ),
+    )
     good = F.col("ts").isNotNull()
     clock = F.col("text").rlike(r"[ T]\d{1,2}:\d{2}")
     # Distinct dates are few next to rows, so they are folded first.

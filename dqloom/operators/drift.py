@@ -115,7 +115,19 @@ def column_drift(baseline: DataFrame, comparison: DataFrame) -> DataFrame:
         frames.append(ks_drift(baseline, comparison))
     if other:
         frames.append(psi_drift(baseline, comparison))
-    both = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    measured = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    # Columns without a single value on either side have no row yet.
+    names = [(f.name, "ks", KS_THRESHOLD) for f in numeric] + [
+        (f.name, "psi", PSI_THRESHOLD) for f in other
+    ]
+    shared = baseline.sparkSession.createDataFrame(
+        names, "column_name string, method string, threshold double"
+    )
+    zero = F.lit(0).cast("long")
+    both = shared.join(measured.drop("method", "threshold"), "column_name", "left").withColumns({
+        "baseline_count": F.coalesce("baseline_count", zero),
+        "comparison_count": F.coalesce("comparison_count", zero),
+    })
     enough = F.least("baseline_count", "comparison_count") >= MIN_SAMPLE
     return both.select(
         "column_name", "method", "baseline_count", "comparison_count",

@@ -15,6 +15,7 @@ from dqloom.operators.counts import (
     wide_to_long,
 )
 from dqloom.operators.frequency import (
+    Field,
     column_name,
     fields_of,
     numeric_values,
@@ -45,45 +46,55 @@ def _named(df: DataFrame, result: DataFrame) -> DataFrame:
     return result.select(column_name(fields_of(df)).alias("column_name"), *rest)
 
 
-def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """N1, N5, N6 and the integer test of N7, in one map-side aggregation."""
-    fields = fields_of(df, columns, ["numeric"])
+def _double(f: Field) -> Column:
+    return f.value.cast("double")
 
-    def v(f):
-        return f.value.cast("double")
 
-    def finite_whole(f):
-        return F.bool_and(_finite(v(f)) & (v(f) == F.rint(v(f))))
+def _whole(f: Field) -> Column:
+    return F.bool_and(_finite(_double(f)) & (_double(f) == F.rint(_double(f))))
 
-    def decimals(f):
-        scaled = [
-            F.round(v(f) * F.lit(10.0**p), 6) for p in range(1, MAX_DECIMALS + 1)
-        ]
-        exact = [F.abs(s - F.rint(s)) < F.lit(1e-6) for s in scaled]
-        chain = F.when(~_finite(v(f)), F.lit(0)).when(v(f) == F.rint(v(f)), F.lit(0))
-        for p, ok in enumerate(exact, start=1):
-            chain = chain.when(ok, F.lit(p))
-        return F.max(chain.otherwise(F.lit(MAX_DECIMALS)))
 
-    return wide_to_long(
-        df, fields,
-        {
-            "count": lambda f: F.count(v(f)),
-            "min": lambda f: F.min(v(f)),
-            "max": lambda f: F.max(v(f)),
-            "mean": lambda f: F.avg(v(f)),
-            "std": lambda f: F.stddev_samp(v(f)),
-            "raw_skew": lambda f: F.skewness(v(f)),
-            "zero_count": lambda f: F.count_if(v(f) == 0),
-            "negative_count": lambda f: F.count_if(v(f) < 0),
-            "positive_count": lambda f: F.count_if(v(f) > 0),
-            "integer_valued": finite_whole,
-            "max_decimal_places": decimals,
-        },
-    ).filter(F.col("count") > 0).withColumn("skewness", _adjusted_skew()).drop("raw_skew")
+def _decimal_places(f: Field) -> Column:
+    v = _double(f)
+    chain = F.when(~_finite(v) | (v == F.rint(v)), F.lit(0))
+    for places in range(1, MAX_DECIMALS + 1):
+        scaled = F.round(v * F.lit(10.0**places), 6)
+        chain = chain.when(F.abs(scaled - F.rint(scaled)) < F.lit(1e-6), F.lit(places))
+    return F.max(chain.otherwise(F.lit(MAX_DECIMALS)))
+
+
+MOMENTS = {
+    "count": lambda f: F.count(_double(f)),
+    "min": lambda f: F.min(_double(f)),
+    "max": lambda f: F.max(_double(f)),
+    "mean": lambda f: F.avg(_double(f)),
+    "std": lambda f: F.stddev_samp(_double(f)),
+    "raw_skew": lambda f: F.skewness(_double(f)),
+    "zero_count": lambda f: F.count_if(_double(f) == 0),
+    "negative_count": lambda f: F.count_if(_double(f) < 0),
+    "positive_count": lambda f: F.count_if(_double(f) > 0),
+    "integer_valued": _whole,
+    "max_decimal_places": _decimal_places,
+}
+
+
+def moments(
+    df: DataFrame, columns: Sequence[str] | None = None, wanted: Sequence[str] | None = None
+) -> DataFrame:
+    """N1, N5, N6, N7 per position in one map-side aggregation, no shuffle of values."""
+    fields = fields_of(df, columns, ["numeric"])
+    chosen = list(MOMENTS) if wanted is None else ["count", *wanted]
+    if "raw_skew" in chosen and "std" not in chosen:
+        chosen.append("std")
+    out = wide_to_long(df, fields, {m: MOMENTS[m] for m in dict.fromkeys(chosen)}).filter(
+        F.col("count") > 0
+    )
+    if "raw_skew" in chosen:
+        out = out.withColumn("skewness", adjusted_skew()).drop("raw_skew")
+    return out
 
 
-def _adjusted_skew() -> Column:
+def adjusted_skew() -> Column:
     n = F.col("count").cast("double")
     flat = F.col("std").isNull() | (F.col("std") == 0)
     return (
@@ -98,7 +109,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     median = quantile_columns(
         exact_quantiles(numeric_values(_vft(df, columns)), ["pos"], [0.5]), ["pos"], {0.5: "median"}
     )
-    base = moments(df, columns).select("pos", "count", "min", "max", "mean", "std")
+    base = moments(df, columns, ["min", "max", "mean", "std"])
     return _named(df, base.join(F.broadcast(median), "pos", "left"))
 
 
@@ -170,19 +181,19 @@ def numeric_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 def numeric_signs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Zero, negative and positive counts."""
     return _named(
-        df, moments(df, columns).select("pos", "zero_count", "negative_count", "positive_count")
+        df, moments(df, columns, ["zero_count", "negative_count", "positive_count"]).drop("count")
     )
 
 
 def numeric_skewness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Bias-adjusted skewness."""
-    return _named(df, moments(df, columns).select("pos", "skewness"))
+    return _named(df, moments(df, columns, ["raw_skew"]).select("pos", "skewness"))
 
 
 def numeric_precision(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Integer-valued, decimal places (at most 6), low cardinality."""
     distinct = distinct_summary(_vft(df, columns)).select("pos", "distinct_count")
-    base = moments(df, columns).select("pos", "integer_valued", "max_decimal_places")
+    base = moments(df, columns, ["integer_valued", "max_decimal_places"]).drop("count")
     joined = base.join(F.broadcast(distinct), "pos")
     return _named(
         df,
@@ -233,7 +244,7 @@ def code_like_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     vft = _vft(df, columns)
     values = numeric_values(vft)
     base = (
-        moments(df, columns).select("pos", "integer_valued")
+        moments(df, columns, ["integer_valued"]).drop("count")
         .join(F.broadcast(sequence_summary(values)), "pos")
         .join(
             F.broadcast(distinct_summary(vft).select("pos", "distinct_count", "non_null_count")),

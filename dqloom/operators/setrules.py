@@ -17,6 +17,9 @@ from dqloom.operators.frequency import Field
 from dqloom.operators.rules import Cell, Context, RuleError, parameters, template_of
 from dqloom.operators.tables import group_value
 
+INLINE_ENTRIES = 200
+INLINE_CHARACTERS = 200_000
+
 
 class KeyedRule:
     """A rule decided per key: `key` columns, rows it applies to, failing keys."""
@@ -103,30 +106,52 @@ class _Absent(KeyedRule):
         return groups.join(self.allowed, self.names, "left_anti")
 
 
+class _NotContainingList(KeyedRule):
+    """Failing texts contain none of a short list of entries, tested row by row."""
+
+    def __init__(self, df, keys, applicable, counted, entries: list[str]):
+        super().__init__(df, keys, applicable, counted)
+        self.entries = entries
+
+    def bad_keys(self, groups):
+        listed = F.array(*[F.lit(e) for e in self.entries]).cast("array<string>")
+        return groups.filter(~F.exists(listed, lambda e: F.col("key0").contains(e)))
+
+
 class _NotContaining(_Absent):
-    """Failing texts contain none of the allowed entries.
+    """Failing texts contain none of the entries of a large reference.
 
-    Every substring whose length some entry has is looked up by equality, so no
-    pair of text and entry is ever formed.
+    Every entry is anchored by its first k characters (k a power of two up to 32).
+    Texts meet entries by equality of such k-character pieces, and only pairs that
+    share an anchor are compared in full.
     """
 
+    ANCHORS = (1, 2, 4, 8, 16, 32)
+
     def bad_keys(self, groups):
-        entries = self.allowed.select(F.col("key0").alias("entry")).distinct()
-        lengths = entries.agg(F.collect_set(F.length("entry")).alias("lengths"))
-        key = F.col("key0")
-        # One row holding the distinct entry lengths.
-        pieces = (
-            groups.select("key0").join(F.broadcast(lengths))
-            .select("key0", F.explode("lengths").alias("n"))
-            .filter(F.col("n") <= F.length(key))
-            .select(
-                "key0", "n", F.explode(F.sequence(F.lit(1), F.length(key) - F.col("n") + 1)).alias("i")
-            )
-            .select("key0", F.substring(key, F.col("i"), F.col("n")).alias("entry"))
-            .distinct()
+        entry, key = F.col("entry"), F.col("key0")
+        k = F.lit(1)
+        for size in self.ANCHORS:
+            k = F.when(F.length(entry) >= size, size).otherwise(k)
+        entries = (
+            self.allowed.select(F.col("key0").alias("entry")).filter(entry != "")
+            .distinct().withColumn("k", k).withColumn("piece", F.substring(entry, F.lit(1), k))
         )
-        matched = pieces.join(entries, "entry", "left_semi").select("key0").distinct()
-        return groups.join(matched, "key0", "left_anti")
+        texts = groups.select(key, F.sha2(key, 256).alias("id"))
+        # At most six sizes come back to the driver.
+        sizes = [r["k"] for r in entries.select("k").distinct().collect()]
+        matched = None
+        for size in sorted(sizes):
+            overlapping = F.regexp_extract_all(key, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
+            pieces = texts.select("id", F.explode(F.array_distinct(overlapping)).alias("piece"))
+            pairs = pieces.join(
+                entries.filter(F.col("k") == size).select("piece", "entry"), "piece"
+            ).select("id", "entry").distinct()
+            hit = pairs.join(texts, "id").filter(key.contains(entry)).select("key0")
+            matched = hit if matched is None else matched.unionByName(hit)
+        if matched is None:
+            return groups
+        return groups.join(matched.distinct(), "key0", "left_anti")
 
 
 def _value(df: DataFrame, name: str) -> Column:
@@ -218,10 +243,13 @@ def _reference_lookup(df, rule, ctx: Context) -> KeyedRule:
         )
     allowed = allowed.filter(F.col("key0").isNotNull()).distinct()
     key = canonical_key(cell.value, cell.dtype)
-    kind = _Absent
     if cell.is_text and str(params.get("match_mode", "exact")).lower() != "exact":
-        kind = _NotContaining
-    return kind(df, [key], F.lit(True), cell.present, allowed)
+        # Never more than one entry over the limit is fetched.
+        head = [r["key0"] for r in allowed.limit(INLINE_ENTRIES + 1).collect()]
+        if len(head) <= INLINE_ENTRIES and sum(map(len, head)) <= INLINE_CHARACTERS:
+            return _NotContainingList(df, [key], F.lit(True), cell.present, head)
+        return _NotContaining(df, [key], F.lit(True), cell.present, allowed)
+    return _Absent(df, [key], F.lit(True), cell.present, allowed)
 
 
 SET_TEMPLATES = {

@@ -21,6 +21,7 @@ COMPOSITE_COVERAGE = 0.5
 COMPOSITE_REPORTED = 3
 COMPOSITE_MAX_COLUMNS = 3
 COMPOSITES_PER_JOB = 12
+SKETCHES_PER_JOB = 64
 FD_COVERAGE = 98.0
 FD_MIN_ROWS = 30
 FD_REPORTED = 30
@@ -221,23 +222,26 @@ def _plausible(df: DataFrame, combos: list[tuple[str, ...]]) -> list[tuple[str,
         return []
     by_name = {f.name: f for f in fields_of(df)}
     keep: list[tuple[str, ...]] = []
-    for at in range(0, len(combos), 64):
-        batch = combos[at:at + 64]
-        aggregates = []
+    for at in range(0, len(combos), SKETCHES_PER_JOB):
+        batch = combos[at:at + SKETCHES_PER_JOB]
+        args: list[Column] = []
         for i, combo in enumerate(batch):
             members = [group_value(by_name[c]) for c in combo]
             complete = F.lit(True)
             for m in members:
                 complete = complete & m.isNotNull()
-            key = F.when(complete, F.xxhash64(*members))
-            aggregates += [
-                F.approx_count_distinct(key, 0.02).alias(f"d{i}"), F.count(key).alias(f"n{i}"),
-            ]
-        row = df.agg(*aggregates).first()
-        keep += [
-            c for i, c in enumerate(batch)
-            if row[f"n{i}"] and row[f"d{i}"] / row[f"n{i}"] * 100 >= COMPOSITE_UNIQUENESS - 15
-        ]
+            args += [F.lit(i), F.when(complete, F.xxhash64(*members))]
+        sketched = (
+            df.select(F.stack(F.lit(len(batch)), *args).alias("combo", "key"))
+            .filter(F.col("key").isNotNull())
+            .groupBy("combo")
+            .agg(F.approx_count_distinct("key", 0.02).alias("d"), F.count("key").alias("n"))
+        )
+        likely = {
+            r["combo"] for r in sketched.collect()
+            if r["d"] / r["n"] * 100 >= COMPOSITE_UNIQUENESS - 15
+        }
+        keep += [c for i, c in enumerate(batch) if i in likely]
     return keep
 
 
