@@ -19,6 +19,8 @@ def local_session(app: str = "dqloom", cpus: str | int | None = None) -> SparkSe
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        # Call sites of column expressions cost more than the expressions on wide tables.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
