@@ -34,7 +34,7 @@ LEVEL = StorageLevel.MEMORY_AND_DISK
 
 def small(frame: DataFrame) -> DataFrame:
     """Evaluate a schema-sized frame (rows per column, not per row) once."""
-    return frame.sparkSession.createDataFrame(frame.toArrow(), frame.schema)
+    return frame.sparkSession.createDataFrame(frame.toArrow())
 
 
 def together(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
