@@ -11,6 +11,7 @@ import datetime
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyarrow.lib import ArrowException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -34,7 +35,13 @@ LEVEL = StorageLevel.MEMORY_AND_DISK
 
 def small(frame: DataFrame) -> DataFrame:
     """Evaluate a schema-sized frame (rows per column, not per row) once."""
-    return frame.sparkSession.createDataFrame(frame.toArrow())
+    rows = frame.toArrow()
+    try:
+        return frame.sparkSession.createDataFrame(rows)
+    except ArrowException:  # nested fields that Arrow marks as never null
+        return frame.sparkSession.createDataFrame(
+            rows.to_pylist(), frame.schema, verifySchema=False
+        )
 
 
 def together(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
