@@ -10,7 +10,7 @@ from dqloom.catalog.inputs import dirty, table
 from dqloom.catalog.registry import register
 from dqloom.functions.similarity import split_name
 from dqloom.operators import learning, meaning, recommend
-from dqloom.plans.profile import column_profile
+from dqloom.plans.profile import column_profile, small
 from dqloom.plans.quality import supported_templates
 
 AS_OF = "2015-06-01 00:00:00"
@@ -22,7 +22,7 @@ def profiles(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _PROFILES:
         parts = [
-            column_profile(df, AS_OF).withColumn("table_name", F.lit(name))
+            small(column_profile(df, AS_OF)).withColumn("table_name", F.lit(name))
             for name, df in (("customer", dirty(spark, sf, "customer")),
                              ("events", table(spark, sf, "events")))
         ]
@@ -137,7 +137,8 @@ def concept_scores(spark, sf):
 
 
 def _decisions(spark, sf):
-    return meaning.decide(meaning.score_concepts(_evidence(spark, sf)))
+    """One row per column, evaluated once, as several steps read it."""
+    return small(meaning.decide(meaning.score_concepts(_evidence(spark, sf))))
 
 
 @register("column_concepts")
@@ -162,7 +163,7 @@ def _context(spark, sf):
         [("customer", "c_custkey", "events", "user_id", "approved")], recommend.LINK_SCHEMA
     )
     meanings = _decisions(spark, sf).filter("concept IS NOT NULL")
-    return recommend.column_context(profiles(spark, sf), meanings, keys, links), links
+    return small(recommend.column_context(profiles(spark, sf), meanings, keys, links)), links
 
 
 @register("applicability")
