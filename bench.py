@@ -33,16 +33,15 @@ HEADLINE = (
 
 
 def reference_shape(spark: SparkSession) -> DataFrame:
-    """200,000 rows: 17 text columns, 2 numbers, 1 boolean."""
+    """200,000 rows x 20 columns: 17 text, 2 numeric, 1 boolean."""
     i = F.col("id")
-    texts = [
-        F.concat(F.lit(f"v{c}-"), F.pmod(F.xxhash64(i, F.lit(c)), F.lit(10 ** (c % 6 + 1))).cast("string"))
-        .alias(f"text_{c}")
-        for c in range(17)
-    ]
+    spread = F.pmod(F.xxhash64(i), F.lit(1_000_000)) / 1000.0
     return spark.range(0, 200_000, 1, 8).select(
-        *texts, i.alias("row_id"), (F.pmod(F.xxhash64(i), F.lit(10_000)) / 7.0).alias("amount"),
-        (i % 3 == 0).alias("flag"),
+        F.concat_ws("-", F.lit("ID"), (i % 50_000).cast("string"), i.cast("string")).alias("id"),
+        F.concat(F.lit("AB-"), F.lpad((i % 1000).cast("string"), 4, "0")).alias("code"),
+        spread.alias("price"), F.pmod(F.xxhash64(i, F.lit(1)), F.lit(50)).alias("quantity"),
+        F.lit("2024-01-15").alias("date"), (F.pmod(F.xxhash64(i, F.lit(2)), F.lit(2)) == 0).alias("flag"),
+        *[F.concat(F.lit("c"), (i % 10).cast("string")).alias(f"cat_{c}") for c in range(14)],
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from dqloom.functions.missing import canonical_key, quoted, strip
 from dqloom.operators.frequency import Field
 from dqloom.operators.rules import Cell, Context, RuleError, parameters, template_of
-from dqloom.operators.tables import group_value
+from dqloom.operators.tables import comparable, group_value
 
 INLINE_ENTRIES = 200
 INLINE_CHARACTERS = 200_000
@@ -179,7 +179,8 @@ def _uniqueness(df, rule, ctx) -> KeyedRule:
 def _dependency(df, rule, ctx) -> KeyedRule:
     params = parameters(rule)
     a = _value(df, params.get("determinant_column"))
-    b = _value(df, params.get("dependent_column"))
+    dependent = params.get("dependent_column")
+    b = comparable(Field(0, dependent, Cell(df, dependent).dtype))
     return _Inconsistent(df, [a], F.lit(True), a.isNotNull(), b)
 
 

@@ -22,11 +22,18 @@ COMPOSITE_REPORTED = 3
 COMPOSITE_MAX_COLUMNS = 3
 COMPOSITES_PER_JOB = 12
 SKETCHES_PER_JOB = 64
+SKETCH_LG_K = 16
+# Seven standard errors of a sketch of that size.
+SKETCH_MARGIN = 7 * 0.83 / 2 ** (SKETCH_LG_K / 2)
 FD_COVERAGE = 98.0
 FD_MIN_ROWS = 30
 FD_REPORTED = 30
 FD_MAX_COLUMNS = 40
 FD_UNIQUE_RATIO = 0.95
+FD_SCHEMA = (
+    "determinant string, dependent string, evaluated_rows long, violating_rows long, "
+    "violating_groups long, coverage_percentage double, bidirectional boolean"
+)
 CO_MISSING_REPORTED = 3
 VIOLATION_EXAMPLES = 3
 
@@ -38,6 +45,14 @@ def group_value(field: Field) -> Column:
     return field.value
 
 
+def comparable(field: Field) -> Column:
+    """A fixed-width stand-in that differs when values differ."""
+    value = group_value(field)
+    if field.kind in ("numeric", "datetime", "boolean"):
+        return value
+    return F.when(value.isNotNull(), F.xxhash64(value))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """B1: members of complete-duplicate groups, and the excess over one each."""
     keys = [group_value(f).alias(f"k{f.pos}") for f in fields_of(df)]
@@ -215,15 +230,26 @@ def composite_candidates(
 def _plausible(df: DataFrame, combos: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
     """Combinations whose sketched distinct share is not hopeless.
 
-    One scan, a fixed-size sketch per combination, no shuffle of keys. The bar sits
-    15 points (seven standard errors of the sketch) under the real one.
+    The bar leaves seven standard errors of the sketch under the real one.
+    """
+    bar = COMPOSITE_UNIQUENESS / 100 * (1 - SKETCH_MARGIN)
+    sizes = sketched_distinct(df, combos)
+    return [c for c in combos if c in sizes and sizes[c][0] >= bar * sizes[c][1]]
+
+
+def sketched_distinct(
+    df: DataFrame, combos: Sequence[tuple[str, ...]]
+) -> dict[tuple[str, ...], tuple[float, int]]:
+    """Estimated distinct count and exact complete-row count per column combination.
+
+    One scan per batch and a fixed-size sketch per combination; no key is shuffled.
+    Only numbers per combination come back. Combinations without a complete row are
+    left out.
     """
-    if not combos:
-        return []
     by_name = {f.name: f for f in fields_of(df)}
-    keep: list[tuple[str, ...]] = []
+    out: dict[tuple[str, ...], tuple[float, int]] = {}
     for at in range(0, len(combos), SKETCHES_PER_JOB):
-        batch = combos[at:at + SKETCHES_PER_JOB]
+        batch = list(combos[at:at + SKETCHES_PER_JOB])
         args: list[Column] = []
         for i, combo in enumerate(batch):
             members = [group_value(by_name[c]) for c in combo]
@@ -235,14 +261,14 @@ def _plausible(df: DataFrame, combos: list[tuple[str, ...]]) -> list[tuple[str,
             df.select(F.stack(F.lit(len(batch)), *args).alias("combo", "key"))
             .filter(F.col("key").isNotNull())
             .groupBy("combo")
-            .agg(F.approx_count_distinct("key", 0.02).alias("d"), F.count("key").alias("n"))
+            .agg(
+                F.hll_sketch_estimate(F.hll_sketch_agg("key", F.lit(SKETCH_LG_K))).alias("d"),
+                F.count("key").alias("n"),
+            )
         )
-        likely = {
-            r["combo"] for r in sketched.collect()
-            if r["d"] / r["n"] * 100 >= COMPOSITE_UNIQUENESS - 15
-        }
-        keep += [c for i, c in enumerate(batch) if i in likely]
-    return keep
+        for r in sketched.collect():
+            out[batch[r["combo"]]] = (float(r["d"]), r["n"])
+    return out
 
 
 # --- functional dependencies ----------------------------------------------
@@ -254,7 +280,8 @@ def dependency_coverage(
     """B5 measures: coverage of A -> B for every listed pair.
 
     One aggregation per determinant answers all its dependents: a group of A breaks
-    A -> B exactly when min(B) differs from max(B), and it weighs count(B) rows.
+    A -> B when min(B) differs from max(B), and it weighs count(B) rows. Text is
+    compared by 64-bit hash, as fixed-width buffers keep the aggregation hash-based.
     """
     by_name = {f.name: f for f in fields_of(df)}
     dependents = list(dependents or determinants)
@@ -265,7 +292,7 @@ def dependency_coverage(
             continue
         aggregates: list[Column] = []
         for i, b in enumerate(others):
-            v = group_value(by_name[b])
+            v = comparable(by_name[b])
             aggregates += [
                 F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
             ]
@@ -298,14 +325,45 @@ def dependency_coverage(
     )
 
 
+def plausible_dependencies(
+    df: DataFrame, columns: Sequence[str], min_coverage: float = FD_COVERAGE
+) -> dict[str, list[str]]:
+    """Dependents worth measuring per determinant.
+
+    Every row beyond the first of a broken group can add at most one pair value, so
+    distinct(A, B) - distinct(A) stays under the number of broken rows. Pairs whose
+    sketched counts exceed the allowed share by seven standard errors cannot hold.
+    """
+    pairs = list(itertools.combinations(columns, 2))
+    sizes = sketched_distinct(df, [(c,) for c in columns] + pairs)
+    out: dict[str, list[str]] = {a: [] for a in columns}
+    for a, b in pairs:
+        if (a, b) not in sizes:
+            continue
+        together, rows = sizes[(a, b)]
+        allowed = (1 - min_coverage / 100) * rows
+        for x, y in ((a, b), (b, a)):
+            alone = sizes[(x,)][0]
+            if together * (1 - SKETCH_MARGIN) - alone * (1 + SKETCH_MARGIN) <= allowed:
+                out[x].append(y)
+    return out
+
+
 def functional_dependencies(
     df: DataFrame, determinants: Sequence[str], min_coverage: float = FD_COVERAGE,
     min_rows: int = FD_MIN_ROWS,
 ) -> DataFrame:
     """Pairs A -> B that hold on at least 98% of the rows, with direction."""
-    pairs = dependency_coverage(df, determinants).filter(
-        F.col("coverage_percentage") >= min_coverage
-    )
+    wanted = plausible_dependencies(df, determinants, min_coverage)
+    measured = [
+        dependency_coverage(df, [a], [a, *bs]) for a, bs in wanted.items() if bs
+    ]
+    if not measured:
+        return df.sparkSession.createDataFrame([], FD_SCHEMA)
+    pairs = measured[0]
+    for part in measured[1:]:
+        pairs = pairs.unionByName(part)
+    pairs = pairs.filter(F.col("coverage_percentage") >= min_coverage)
     reverse = pairs.select(
         F.col("determinant").alias("dependent"), F.col("dependent").alias("determinant"),
         F.lit(True).alias("reverse"),
@@ -353,8 +411,9 @@ def dependency_violations(
         F.col("a").isNotNull() & F.col("b").isNotNull()
     )
     broken = (
-        pairs.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
-        .filter(F.col("lo") != F.col("hi")).select("a").orderBy("a").limit(groups)
+        pairs.groupBy("a").agg(
+            F.min(F.xxhash64("b")).alias("lo"), F.max(F.xxhash64("b")).alias("hi")
+        ).filter(F.col("lo") != F.col("hi")).select("a").orderBy("a").limit(groups)
     )
     rank = Window.partitionBy("a").orderBy("b")
     shown = (

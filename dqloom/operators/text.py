@@ -296,7 +296,7 @@ def _normalised(values: DataFrame) -> DataFrame:
 def variant_summary(values: DataFrame) -> DataFrame:
     """T8 per position: number of variant groups and of normalised values."""
     distinct = _normalised(values).groupBy("pos", "norm").agg(
-        F.min("spelling").alias("lo"), F.max("spelling").alias("hi")
+        F.min(F.xxhash64("spelling")).alias("lo"), F.max(F.xxhash64("spelling")).alias("hi")
     )
     return distinct.groupBy("pos").agg(
         F.count(F.lit(1)).alias("normalized_distinct_count"),

@@ -35,13 +35,10 @@ LEVEL = StorageLevel.MEMORY_AND_DISK
 
 def small(frame: DataFrame) -> DataFrame:
     """Evaluate a schema-sized frame (rows per column, not per row) once."""
-    rows = frame.toArrow()
     try:
-        return frame.sparkSession.createDataFrame(rows)
-    except ArrowException:  # nested fields that Arrow marks as never null
-        return frame.sparkSession.createDataFrame(
-            rows.to_pylist(), frame.schema, verifySchema=False
-        )
+        return frame.sparkSession.createDataFrame(frame.toArrow())
+    except ArrowException:  # absent structs whose fields Arrow marks as never null
+        return frame.sparkSession.createDataFrame(frame.collect(), frame.schema).coalesce(1)
 
 
 def together(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -54,44 +51,56 @@ def _struct(columns: list[str], name: str) -> Column:
     return F.struct(*columns).alias(name)
 
 
-def _only(kind: str, make, ddl: str):
-    """A metric of one storage kind; NULL for the other columns."""
-    return lambda f: make(f) if f.kind == kind else F.lit(None).cast(ddl)
-
+COUNTS = {
+    "row_count": lambda f: F.count(F.lit(1)), "non_null": lambda f: F.count(f.value),
+}
+TEXT_COUNTS = {
+    **COUNTS,
+    "empty_string_count": lambda f: F.count_if(is_empty(f.value)),
+    "whitespace_only_count": lambda f: F.count_if(is_blank(f.value)),
+    "leading_trailing_whitespace_count": lambda f: F.count_if(
+        (f.value != strip(f.value)) & (strip(f.value) != F.lit(""))
+    ),
+    "longest": lambda f: F.max(F.length(f.value)),
+}
 
-def scan_metrics(as_of: str | datetime.datetime) -> dict:
-    """Everything a plain scan can say about a column, in one aggregation."""
-    def text(make):
-        counted = _only("string", lambda f: F.count_if(make(f.value)), "bigint")
-        return lambda f: F.coalesce(counted(f), F.lit(0))
 
+def _time_counts(as_of: str | datetime.datetime) -> dict:
     def stamp(f):
         return f.value.cast("timestamp")
 
-    metrics = {
-        "row_count": lambda f: F.count(F.lit(1)),
-        "non_null": lambda f: F.count(f.value),
-        "empty_string_count": text(is_empty),
-        "whitespace_only_count": text(is_blank),
-        "leading_trailing_whitespace_count": text(
-            lambda v: (v != strip(v)) & (strip(v) != F.lit(""))
-        ),
-        "longest": _only("string", lambda f: F.max(F.length(f.value)), "int"),
-        "t_min": _only("datetime", lambda f: F.min(stamp(f)), "timestamp"),
-        "t_max": _only("datetime", lambda f: F.max(stamp(f)), "timestamp"),
-        "t_clock": _only(
-            "datetime", lambda f: F.bool_or(stamp(f) != F.date_trunc("day", stamp(f))), "boolean"
-        ),
-        "t_future": _only(
-            "datetime",
-            lambda f: F.count_if(stamp(f) > F.lit(str(as_of)).cast("timestamp")), "bigint",
-        ),
+    return {
+        **COUNTS,
+        "t_min": lambda f: F.min(stamp(f)), "t_max": lambda f: F.max(stamp(f)),
+        "t_clock": lambda f: F.bool_or(stamp(f) != F.date_trunc("day", stamp(f))),
+        "t_future": lambda f: F.count_if(stamp(f) > F.lit(str(as_of)).cast("timestamp")),
+    }
+
+
+def scans(df: DataFrame, as_of: str | datetime.datetime) -> dict[str, DataFrame]:
+    """What plain scans can say: one aggregation per storage kind, over its columns only."""
+    wanted = {
+        "numeric": {**COUNTS, **numeric.MOMENTS}, "string": TEXT_COUNTS,
+        "datetime": _time_counts(as_of), "boolean": COUNTS, "other": COUNTS,
     }
-    types = {"count": "bigint", "zero_count": "bigint", "negative_count": "bigint",
-             "positive_count": "bigint", "integer_valued": "boolean", "max_decimal_places": "int"}
-    for name, make in numeric.MOMENTS.items():
-        metrics[name] = _only("numeric", make, types.get(name, "double"))
-    return metrics
+    out = {}
+    for kind, metrics in wanted.items():
+        fields = fields_of(df, kinds=[kind])
+        if fields:
+            out["scan_" + kind] = counts.wide_to_long(df, fields, metrics)
+    return out
+
+
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    for name in TEXT_COUNTS:
+        if name not in out.columns:
+            out = out.withColumn(name, F.lit(0).cast("long"))
+    return out.fillna(0, [
+        "empty_string_count", "whitespace_only_count", "leading_trailing_whitespace_count",
+    ])
 
 
 def _numeric_block(scan: DataFrame, vft: DataFrame) -> DataFrame:
@@ -209,13 +218,13 @@ def column_profile(df: DataFrame, as_of: str | datetime.datetime) -> DataFrame:
         value_frequencies(df, others, digest_over=LONG_TEXT).persist(LEVEL) if others else None
     )
     try:
-        wanted = {"scan": counts.wide_to_long(df, fields, scan_metrics(as_of))}
+        wanted = scans(df, as_of)
         for name, members, vft in (("n", numbers, number_vft), ("o", others, other_vft)):
             if vft is not None:
                 wanted["distinct_" + name] = counts.distinct_summary(vft).drop("top_count")
                 wanted["top_" + name] = counts.top_values(df, members, vft=vft)
         got = together(wanted)
-        scan = got["scan"]
+        scan = _merged([got[k] for k in got if k.startswith("scan_")])
         out = catalog.join(scan.select(
             "pos", "row_count", "non_null", "empty_string_count", "whitespace_only_count",
             "leading_trailing_whitespace_count",
@@ -229,26 +238,28 @@ def column_profile(df: DataFrame, as_of: str | datetime.datetime) -> DataFrame:
         )
         out = out.join(packed, "column_name", "left")
         if number_vft is not None:
-            block = _numeric_block(scan, number_vft)
+            block = _numeric_block(got["scan_numeric"], number_vft)
             columns = [c for c in block.columns if c != "pos"]
             out = out.join(block.select("pos", _struct(columns, "numeric")), "pos", "left")
-        times = [_datetime_block(scan)]
+        times = [_datetime_block(got["scan_datetime"])] if "scan_datetime" in got else []
         values = _text_source(df, fields, scan, other_vft)
         if values is not None:
             row_count = spark.createDataFrame(
                 [(scan.select("row_count").first()[0],)], "rows long"
             )
-            block, dated = _text_block(values, row_count, fields, as_of)
+            block, texts = _text_block(values, row_count, fields, as_of)
             columns = [c for c in block.columns if c != "pos"]
             out = out.join(block.select("pos", _struct(columns, "text")), "pos", "left")
-            times.append(dated.select("pos", *DATE_BLOCK))
-        dated = _union(times).select("pos", _struct(DATE_BLOCK, "datetime"))
-        out = small(_finish(out.join(dated, "pos", "left")))
+            times.append(texts.select("pos", *DATE_BLOCK))
+        if times:
+            dated = _union(times).select("pos", _struct(DATE_BLOCK, "datetime"))
+            out = out.join(dated, "pos", "left")
+        out = small(_finish(out))
         codes = [r["pos"] for r in out.filter("code_like AND numeric.integer_valued").collect()]
         if codes:
             shapes = small(_code_shapes(number_vft, codes))
             columns = [c for c in shapes.columns if c != "pos"]
-            shapes = shapes.select("pos", _struct(columns, "shape"))
+            shapes = shapes.select("pos", F.struct(*columns).cast(SHAPE_BLOCK).alias("shape"))
         else:
             shapes = spark.createDataFrame([], f"pos int, shape {SHAPE_BLOCK}")
         return out.join(shapes, "pos", "left")
@@ -436,22 +447,13 @@ def dependency_columns(facts: list[dict], limit: int | None = tables.FD_MAX_COLU
     return chosen[:limit]
 
 
-FD_SCHEMA = (
-    "determinant string, dependent string, evaluated_rows long, violating_rows long, "
-    "violating_groups long, coverage_percentage double, bidirectional boolean"
-)
-
-
 def table_dependencies(df: DataFrame, facts: list[dict]) -> DataFrame:
     """B5, B6 with the reporting limit of 30."""
     chosen = dependency_columns(facts)
     if len(chosen) < 2:
-        return df.sparkSession.createDataFrame([], FD_SCHEMA)
-    pairs = tables.functional_dependencies(df, chosen)
-    # Pairs of column names: materialised once, as the reduction reads them four times.
-    pairs = df.sparkSession.createDataFrame(
-        pairs.select(*[c.split()[0] for c in FD_SCHEMA.split(", ")]).collect(), FD_SCHEMA
-    )
+        return df.sparkSession.createDataFrame([], tables.FD_SCHEMA)
+    # Pairs of column names: evaluated once, as the reduction reads them four times.
+    pairs = small(tables.functional_dependencies(df, chosen))
     return tables.reduce_dependencies(pairs).orderBy(
         F.col("coverage_percentage").desc(), "determinant", "dependent"
     ).limit(tables.FD_REPORTED)
