@@ -6,8 +6,15 @@ from pyspark.sql import functions as F
 
 from dqloom.catalog.inputs import TABLES, dirty, table
 from dqloom.catalog.registry import register
+from dqloom.operators import tables
 from dqloom.operators.counts import column_catalog
-from dqloom.plans.profile import column_profile, dataset_profile, profile_table
+from dqloom.plans.profile import (
+    column_facts,
+    column_profile,
+    dataset_profile,
+    profile_table,
+    small,
+)
 from dqloom.sources import identity
 from dqloom.sources.files import discover_tables, typed
 
@@ -150,10 +157,10 @@ def table_observations(spark, sf):
 
 @register("composite_candidates")
 def composite_candidates(spark, sf):
-    found = profile_table(dirty(spark, sf, "part"), "part", "2015-06-01").composites
+    customers = dirty(spark, sf, "customer")
+    facts = column_facts(small(column_profile(customers, "2015-06-01")))
+    found = tables.composite_candidates(customers, facts, facts[0]["row_count"])
     return found.withColumns({
         "columns": F.array_join("columns", "+"),
         "key_like_members": F.array_join("key_like_members", "+"),
     })
-
-
