@@ -283,45 +283,45 @@ def dependency_coverage(
     A -> B when min(B) differs from max(B), and it weighs count(B) rows. Text is
     compared by 64-bit hash, as fixed-width buffers keep the aggregation hash-based.
     """
-    by_name = {f.name: f for f in fields_of(df)}
     dependents = list(dependents or determinants)
-    frames = []
+    used = [f for f in fields_of(df) if f.name in {*determinants, *dependents}]
+    at = {f.name: f.pos for f in used}
+    # Two forms of each column: g for grouping, c for comparing. Expressions are
+    # short SQL texts, since a table has columns squared of them.
+    cells = df.select(
+        *[group_value(f).alias(f"g{f.pos}") for f in used],
+        *[comparable(f).alias(f"c{f.pos}") for f in used],
+    )
+    names = F.array(*[F.lit(next((f.name for f in used if f.pos == i), None))
+                      for i in range(max(at.values(), default=0) + 1)])
+    out: DataFrame | None = None
     for a in determinants:
-        others = [b for b in dependents if b != a]
+        others = [at[b] for b in dependents if b != a]
         if not others:
             continue
-        aggregates: list[Column] = []
-        for i, b in enumerate(others):
-            v = comparable(by_name[b])
-            aggregates += [
-                F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-            ]
-        key = group_value(by_name[a])
-        groups = df.filter(key.isNotNull()).groupBy(key.alias("a")).agg(*aggregates)
-        sums: list[Column] = []
-        args: list[Column] = []
-        for i, b in enumerate(others):
-            broken = F.col(f"lo{i}") != F.col(f"hi{i}")
-            sums += [
-                F.sum(f"n{i}").alias(f"e{i}"),
-                F.coalesce(F.sum(F.when(broken, F.col(f"n{i}"))), F.lit(0)).alias(f"v{i}"),
-                F.count_if(broken).alias(f"g{i}"),
-            ]
-            args += [F.lit(b), F.col(f"e{i}"), F.col(f"v{i}"), F.col(f"g{i}")]
-        frames.append(
-            groups.agg(*sums).select(
-                F.lit(a).alias("determinant"),
-                F.stack(F.lit(len(others)), *args).alias(
-                    "dependent", "evaluated_rows", "violating_rows", "violating_groups"
-                ),
+        groups = cells.where(f"g{at[a]} IS NOT NULL").groupBy(f"g{at[a]}").agg(*[
+            F.expr(f"{fn}(c{i}) AS {short}{i}")
+            for i in others for fn, short in (("count", "n"), ("min", "lo"), ("max", "hi"))
+        ])
+        sums = groups.selectExpr(*[
+            text for i in others for text in (
+                f"coalesce(sum(n{i}), 0L) AS e{i}",
+                f"coalesce(sum(CASE WHEN lo{i} <> hi{i} THEN n{i} END), 0L) AS v{i}",
+                f"count_if(lo{i} <> hi{i}) AS g{i}",
             )
+        ])
+        rows = ", ".join(f"{i}, e{i}, v{i}, g{i}" for i in others)
+        part = sums.selectExpr(
+            f"{at[a]} AS a",
+            f"stack({len(others)}, {rows}) AS (b, evaluated_rows, violating_rows, violating_groups)",
         )
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out.filter(F.col("evaluated_rows") > 0).withColumn(
-        "coverage_percentage",
-        F.lit(100.0) * (F.lit(1.0) - F.col("violating_rows") / F.col("evaluated_rows")),
+        out = part if out is None else out.unionByName(part)
+    return out.filter(F.col("evaluated_rows") > 0).select(
+        F.element_at(names, F.col("a") + 1).alias("determinant"),
+        F.element_at(names, F.col("b") + 1).alias("dependent"),
+        "evaluated_rows", "violating_rows", "violating_groups",
+        (F.lit(100.0) * (F.lit(1.0) - F.col("violating_rows") / F.col("evaluated_rows"))).alias(
+            "coverage_percentage"),
     )
 
 
@@ -364,15 +364,12 @@ def functional_dependencies(
     for part in measured[1:]:
         pairs = pairs.unionByName(part)
     pairs = pairs.filter(F.col("coverage_percentage") >= min_coverage)
-    reverse = pairs.select(
-        F.col("determinant").alias("dependent"), F.col("dependent").alias("determinant"),
-        F.lit(True).alias("reverse"),
+    # At most two rows per window: a pair of columns and its reverse.
+    both = Window.partitionBy(
+        F.least("determinant", "dependent"), F.greatest("determinant", "dependent")
     )
-    return (
-        pairs.join(reverse, ["determinant", "dependent"], "left")
-        .withColumn("bidirectional", F.coalesce("reverse", F.lit(False)))
-        .drop("reverse")
-        .filter(F.col("evaluated_rows") >= min_rows)
+    return pairs.withColumn("bidirectional", F.count(F.lit(1)).over(both) == 2).filter(
+        F.col("evaluated_rows") >= min_rows
     )
 
 
