@@ -35,7 +35,7 @@ def with_ranges(values: DataFrame, group: Sequence[str], order: str, weight: str
     # The weight takes part so that this branch reads the same columns as its
     # siblings and the shuffle below can be reused instead of repeated.
     sketch = F.percentile_approx(
-        F.when(F.col(weight).isNotNull(), F.col(order)),
+        F.when(F.col(weight) > 0, F.col(order)),
         F.array(*[F.lit(p) for p in points]),
         F.lit(max(10_000, 10 * ranges)),
     )
