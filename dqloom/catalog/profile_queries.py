@@ -467,16 +467,36 @@ def whitespace_padding(spark, sf):
     return c.unionByName(text.whitespace_padding(table(spark, sf, "conversations")))
 
 
-@register("storage_mismatch")
+_IS_NUMBER = f"regexp_matches(trim(value, {WS}), '{tx.NUMERIC}')"
+
+
+@register("storage_mismatch", f"""WITH {CUST}, tall AS (
+        {tall_sql('dirty_customer', CUSTOMER_TEXT)} UNION ALL {tall_sql('events', ['props'])})
+    SELECT column_name, 'string' AS stored_as,
+           round(count(*) FILTER (WHERE {_IS_NUMBER}) * 100.0 / count(*), 4) AS numeric_like_percentage,
+           bool_and({_IS_NUMBER}) AS semantic_storage_mismatch FROM tall GROUP BY column_name""")
 def storage_mismatch(spark, sf):
-    return text.text_storage(dirty(spark, sf, "customer"))
+    c = text.text_storage(dirty(spark, sf, "customer"))
+    e = text.text_storage(table(spark, sf, "events"), ["props"])
+    return _rounded(c.unionByName(e), "numeric_like_percentage")
 
 
 # --- dates ----------------------------------------------------------------
 
-@register("date_detection")
+def _detection_sql(c: str, fmt: str) -> str:
+    shaped = f"count(*) FILTER (WHERE regexp_matches(trim({c}, {WS}), '{DATE_SHAPE}'))"
+    return (
+        f"SELECT '{c}' AS column_name, count(*) AS n, {shaped} AS date_like_count, "
+        f"round({shaped} * 100.0 / count(*), 4) AS date_like_percentage, '{fmt}' AS detected_format, "
+        f"100.0 AS format_confidence_percentage, false AS format_ambiguous "
+        f"FROM dirty_customer WHERE {c} IS NOT NULL HAVING {shaped} * 100.0 / count(*) >= 95"
+    )
+
+
+@register("date_detection", f"WITH {CUST} " + _detection_sql("c_since", "%Y-%m-%d")
+          + " UNION ALL " + _detection_sql("c_renewal", "%d/%m/%Y"))
 def date_detection(spark, sf):
-    return dates.detect_dates(dirty(spark, sf, "customer"))
+    return _rounded(dates.detect_dates(dirty(spark, sf, "customer")), "date_like_percentage")
 
 
 @register("date_ambiguity")
