@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, quality_rules, secret_scan, sharding, url_filter
 
 
 def queries() -> dict:
-    return {"op4_quality_rules": quality_rules.op4_query}
+    return {
+        "op1_secret_scans": secret_scan.op1_query,
+        "op3_sharding": sharding.op3_query,
+        "op4_quality_rules": quality_rules.op4_query,
+        "op6_url_filters": url_filter.op6_query,
+        "op8_mixing": mixing.op8_query,
+    }
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.op4_sql()}
+    return {
+        "op1_secret_scans": secret_scan.op1_sql(),
+        "op3_sharding": sharding.op3_sql(),
+        "op4_quality_rules": quality_rules.op4_sql(),
+        "op6_url_filters": url_filter.op6_sql(),
+        "op8_mixing": mixing.op8_sql(),
+    }
