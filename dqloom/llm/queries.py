@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secret_scan, sharding, url_filter
+from . import bpe, mixing, quality_rules, secret_scan, sharding, token_store, url_filter
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_secret_scans": secret_scan.op1_query,
         "op3_sharding": sharding.op3_query,
         "op4_quality_rules": quality_rules.op4_query,
+        "op5_bpe": bpe.op5_query,
         "op6_url_filters": url_filter.op6_query,
+        "op7_token_store": token_store.op7_query,
         "op8_mixing": mixing.op8_query,
     }
 
