@@ -79,3 +79,27 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for all nodes of `edges` (a, b: non-null ids of one type).
+
+    The component is its smallest node. Each round links every neighbour to the smallest
+    one, first upwards and then downwards; the rounds grow with the logarithm of the
+    longest path, and each is stored, so losing an executor never repeats earlier ones.
+    A node with very many edges is pre-aggregated and its joins can be split.
+    """
+    now = stored(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct(), "edges")
+    seen = None
+    while True:
+        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == seen:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        seen = mark
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        up = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = up.groupBy("u").agg(F.min("v").alias("m"))
+        down = up.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stored(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")

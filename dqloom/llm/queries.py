@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules, secret_scan, sharding, token_store, url_filter
+from . import bpe, mixing, near_dedup, quality_rules, secret_scan, sharding, token_store, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_secret_scans": secret_scan.op1_query,
+        "op2_minhash_near_dedup": near_dedup.op2_query,
         "op3_sharding": sharding.op3_query,
         "op4_quality_rules": quality_rules.op4_query,
         "op5_bpe": bpe.op5_query,
