@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, near_dedup, quality_rules, secret_scan, sharding, token_store, url_filter
+from . import bpe, line_dedup, mixing, near_dedup, quality_rules, secret_scan, sharding, token_store, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_url_filters": url_filter.op6_query,
         "op7_token_store": token_store.op7_query,
         "op8_mixing": mixing.op8_query,
+        "op9_line_dedup": line_dedup.op9_query,
     }
 
 
@@ -25,4 +26,5 @@ def oracles() -> dict[str, str]:
         "op4_quality_rules": quality_rules.op4_sql(),
         "op6_url_filters": url_filter.op6_sql(),
         "op8_mixing": mixing.op8_sql(),
+        "op9_line_dedup": line_dedup.op9_sql(),
     }
