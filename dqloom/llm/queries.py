@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, near_dedup, quality_rules, secret_scan, sharding, token_store, url_filter
+from . import bpe, embedding_dedup, line_dedup, mixing, near_dedup, quality_rules, secret_scan, sharding, token_store, url_filter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_token_store": token_store.op7_query,
         "op8_mixing": mixing.op8_query,
         "op9_line_dedup": line_dedup.op9_query,
+        "op10_embedding_near_dedup": embedding_dedup.op10_query,
     }
 
 
