@@ -20,13 +20,15 @@ tokens strip or normalise, raises an error.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
+from operator import add
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,38 +37,19 @@ from pyspark.sql import types as T
 from .common import ship
 
 MAX_TOKENIZER_BYTES = 64 << 20
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 MEMO_KEY_BYTES = 64
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 RESULTS = {"ids": T.BinaryType(), "n_tokens": T.LongType(), "decoded": T.StringType()}
 
 
-class Memo(dict):
-    """A bounded cache: when it is full it becomes the old generation, and what is still
-    asked for moves over from there."""
-
-    def __init__(self, compute, entries: int = MEMO_ENTRIES) -> None:
-        super().__init__()
-        self.compute, self.entries, self.old = compute, entries, {}
-
-    def __missing__(self, key: bytes):
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
-        if len(key) <= MEMO_KEY_BYTES:
-            if len(self) >= 2 * self.entries:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class ForcedBoundaryBpe:
     """Encoder and decoder for one tokenizer file's text."""
 
     def __init__(self, text: str) -> None:
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         spec = json.loads(text)
         model, added = spec["model"], spec["added_tokens"]
@@ -80,8 +63,13 @@ class ForcedBoundaryBpe:
         vocabulary = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         suffix = model["end_of_word_suffix"] or ""
-        self.last = BPE(vocabulary, merges, end_of_word_suffix=suffix or None)
-        self.inner = BPE(vocabulary, merges) if suffix else self.last
+        def alone(model: BPE) -> Tokenizer:
+            out = Tokenizer(model)
+            out.pre_tokenizer = WhitespaceSplit()
+            return out
+
+        self.last = alone(BPE(vocabulary, merges, end_of_word_suffix=suffix or None))
+        self.inner = alone(BPE(vocabulary, merges)) if suffix else self.last
         bodies = [t.removesuffix(suffix) if suffix else t for t in vocabulary]
         self.together = {a + b for t in bodies for a, b in zip(t, t[1:], strict=False)}
         self.special = {t["content"]: t["id"] for t in added}
@@ -89,8 +77,8 @@ class ForcedBoundaryBpe:
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         self.token = {i: t for t, i in vocabulary.items()} | {t["id"]: t["content"] for t in added}
         self.plain_join = spec["decoder"] is None
-        self.words = Memo(self.encode_word)
-        self.memo = Memo(self._encode_stretch)
+        self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _pieces(self, text: str) -> list:
         if self.normalizer is not None:
@@ -99,81 +87,87 @@ class ForcedBoundaryBpe:
 
     def fragments(self, word: str) -> list[str]:
         """`word` cut at every forced boundary."""
+        if all(map(self.together.__contains__, map(add, word, word[1:]))):
+            return [word]
         cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.together]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
-    def encode_word(self, word: str) -> list[int]:
-        *inner, last = self.fragments(word)
-        ids = [t.id for f in inner for t in self.inner.tokenize(f)]
-        return ids + [t.id for t in self.last.tokenize(last)]
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words, from their fragments' ids in order."""
+        cut = [self.fragments(w) for w in words]
+        inner = iter(_ids_of(self.inner, [f for fs in cut if len(fs) > 1 for f in fs[:-1]]))
+        last = _ids_of(self.last, [fs[-1] for fs in cut])
+        return {word: end if len(fs) == 1 else b"".join([next(inner) for _ in fs[1:]]) + end
+                for word, fs, end in zip(words, cut, last, strict=True)}
 
-    def _encode_stretch(self, stretch: bytes) -> tuple[bytes, str]:
-        text = stretch.decode()
-        ids: list[int] = []
+    def _one(self, text: str) -> bytes:
+        ids = []
         for part in self.special_pattern.split(text) if self.special_pattern else [text]:
             if part in self.special:
-                ids.append(self.special[part])
+                ids.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                for word, _ in self._pieces(part):
-                    ids += self.words[word]
-        return self._packed(ids)
+                words = [word for word, _ in self._pieces(part)]
+                known = self.encode_words(list(set(words)))
+                ids += [known[word] for word in words]
+        return b"".join(ids)
 
-    def learn(self, stretches: set[bytes]) -> None:
-        """Remember the encodings of many stretches, normalised and split in one call.
+    def encode_stretches(self, stretches: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of many stretches, normalised and split into words in one call.
 
         Joined by single spaces they stay apart: neither normalisation nor a word reaches
         over a space. Stretches with special tokens or other white space go one by one.
         """
-        plain = [t for t in (s.decode() for s in stretches) if len(t.split()) == 1 and t.split()[0] == t
-                 and not (self.special_pattern and self.special_pattern.search(t))]
+        texts = [s.decode() for s in stretches]
+        plain = [t for t in texts if t.split() == [t] and not (self.special_pattern and self.special_pattern.search(t))]
         joined = " ".join(plain)
         if self.normalizer is not None:
             joined = self.normalizer.normalize_str(joined)
-        parts = joined.split(" ")
-        if not plain or len(parts) != len(plain):
-            return
-        ends, end, ids = iter(parts), -1, []
-        done: list[list[int]] = []
-        for word, (start, _) in self.pre_tokenizer.pre_tokenize_str(joined):
-            while start > end:
-                end += len(next(ends)) + 1
-                ids = []
-                done.append(ids)
-            ids += self.words[word]
-        for text, found in zip(plain, done + [[] for _ in range(len(plain) - len(done))], strict=True):
-            self.memo[text.encode()] = self._packed(found)
-
-    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
-        return array("I", ids).tobytes(), " ".join([self.token[i] for i in ids])
-
-    def encode_all(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
-        """Per text its ids as little-endian unsigned 32-bit integers, and these decoded."""
-        memo, split = self.memo, [t.split() for t in texts]
-        new = {s for stretches in split for s in stretches if s not in memo and len(s) <= MEMO_KEY_BYTES}
-        for s in [s for s in new if s in memo.old]:
-            memo[s] = memo.old[s]
-            new.discard(s)
-        self.learn(new)
-        out = []
-        for stretches in split:
-            found = list(map(memo.__getitem__, stretches))
-            ids = b"".join([f[0] for f in found])
-            out.append((ids, " ".join([f[1] for f in found if f[1]]) if self.plain_join else self.decode(ids)))
-        if len(memo) > memo.entries:
-            memo.old = dict(memo)
-            memo.clear()
-        return out
-
-    def encode(self, text: bytes) -> tuple[bytes, str]:
-        return self.encode_all([text])[0]
+        parts, out = joined.split(" "), {}
+        if plain and len(parts) == len(plain):
+            pieces = self.pre_tokenizer.pre_tokenize_str(joined)
+            known = self.encode_words(list({word for word, _ in pieces}))
+            ids = [known[word] for word, _ in pieces]
+            starts = np.fromiter((start for _, (start, _) in pieces), np.int64, len(pieces))
+            limits = np.cumsum([len(p) + 1 for p in parts])
+            ends = np.searchsorted(starts, limits).tolist()
+            out = {t.encode(): b"".join(ids[a:b]) for t, a, b in zip(plain, [0, *ends], ends, strict=False)}
+        return out | {s: self._one(t) for s, t in zip(stretches, texts, strict=True) if s not in out}
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Per text its ids as little-endian unsigned 32-bit integers.
+
+        The memory of stretches has two generations, of up to `MEMO_ENTRIES` and a batch's
+        new ones each; what is still met moves from the old one to the new one.
+        """
+        if len(self.memo) > MEMO_ENTRIES:
+            self.old, self.memo = self.memo, {}
+        memo, old, split = self.memo, self.old, [t.split() for t in texts]
+        new = set().union(*split).difference(memo)
+        again = {s: old[s] for s in new if s in old}
+        memo |= again
+        found = self.encode_stretches(list(new.difference(again)))
+        long = {s: found.pop(s) for s in [s for s in found if len(s) > MEMO_KEY_BYTES]}
+        memo |= found
+        if long:
+            return [b"".join([memo[s] if s in memo else long[s] for s in stretches]) for stretches in split]
+        return [b"".join(map(memo.__getitem__, stretches)) for stretches in split]
 
     def decode(self, ids: bytes) -> str:
         numbers = memoryview(ids).cast("I").tolist()
         if self.plain_join:
-            return " ".join([self.token[i] for i in numbers if i in self.token])
+            token = self.token
+            return " ".join([token[i] for i in numbers])
         return self.library.decode(numbers, skip_special_tokens=False)
 
 
+def _ids_of(tokenizer, words: list[str]) -> list[bytes]:
+    """The ids of each word. Words of a byte-level alphabet hold no white space."""
+    encoding = tokenizer.encode(" ".join(words), add_special_tokens=False)
+    raw = np.array(encoding.ids, "<u4").tobytes()
+    ends = (np.searchsorted(np.array(encoding.word_ids, np.int64), np.arange(1, len(words) + 1)) * 4).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 _CODERS: dict[str, ForcedBoundaryBpe] = {}
 
 
@@ -215,6 +209,7 @@ def _with_coder(df: DataFrame, tokenizer_path: str, column: str, outputs: tuple[
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(spec.value)
+        gc.freeze()  # vocabularies needn't be searched for garbage again and again
         for whole in batches:
             for batch in sliced(whole, "__input"):
                 rows = work(bpe, [x or b"" for x in batch.column("__input").to_pylist()])
@@ -228,7 +223,7 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", decoded:
     """`df` plus `ids` (binary, little-endian unsigned 32-bit), `n_tokens` and, if asked
     for, `decoded`."""
     def work(bpe: ForcedBoundaryBpe, texts: list[bytes]) -> list[tuple]:
-        return [(ids, len(ids) // 4, out) for ids, out in bpe.encode_all(texts)]
+        return [(ids, len(ids) // 4, bpe.decode(ids) if decoded else None) for ids in bpe.encode_all(texts)]
 
     return _with_coder(df, tokenizer_path, text_col, ("ids", "n_tokens", "decoded")[:3 if decoded else 2], work)
 

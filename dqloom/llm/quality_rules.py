@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, WORD_SPACE_CHARS, text_or_empty
+from .common import WORD_SPACE, WORD_SPACE_CHARS, free_name, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -64,8 +64,8 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, f"{WORD_SPACE}+"), lambda w: w != "")
 
 
-def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """`df` without its text, plus the measurements."""
+def measure(df: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """`df`, without its text unless that is asked for, plus the measurements."""
     def windows(words: Column) -> Column:
         hashed = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
         return F.slice(hashed, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
@@ -86,28 +86,31 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
         return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
 
     none = F.array().cast("array<struct<h:bigint,p:int>>")
-    kept = [c for c in df.columns if c != text_col and c.lower() not in MEASURES]
+    kept = [c for c in df.columns if (keep_text or c != text_col) and c.lower() not in MEASURES]
+    t, w, l, h, o, s = (free_name(df, name) for name in ("_t", "_w", "_l", "_h", "_o", "_s"))
     # Each step is used more than once by the next, so it stays a step of its own.
-    out = df.select(*kept, text_or_empty(text_col).alias("_t"))
-    out = out.withColumn("_w", _words(F.col("_t"))).withColumn("_l", F.filter(
-        F.split(F.col("_t"), "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")))
-    out = out.withColumn("_h", windows(F.col("_w")))
-    out = out.withColumn("_o", F.when(F.size("_h") > F.size(F.array_distinct("_h")), placed(F.col("_h"))).otherwise(none))
-    out = out.withColumn("_s", met_twice(F.col("_o")))
-    return out.select(
-        *kept,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_t", WORD_SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        covered(F.col("_s")).alias("n_repeat_words"),
-    )
-
-
-def ledger(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    out = df.select(*kept, text_or_empty(text_col).alias(t))
+    out = out.withColumn(w, _words(F.col(t))).withColumn(l, F.filter(
+        F.split(F.col(t), "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")))
+    out = out.withColumn(h, windows(F.col(w)))
+    out = out.withColumn(o, F.when(F.size(h) > F.size(F.array_distinct(h)), placed(F.col(h))).otherwise(none))
+    out = out.withColumn(s, met_twice(F.col(o)))
+    # Measured once, whatever is asked of the results: filters don't move below a generator.
+    m = free_name(df, "_m")
+    out = out.select(*kept, F.explode_outer(F.array(F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.translate(t, WORD_SPACE_CHARS, "")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size(l).cast("long").alias("n_lines"),
+        (F.size(l) - F.size(F.array_distinct(l))).cast("long").alias("n_dup_lines"),
+        covered(F.col(s)).alias("n_repeat_words"),
+    ))).alias(m))
+    return out.select(*kept, f"{m}.*")
+
+
+def ledger(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep_text: bool = False) -> DataFrame:
     """`measure(df)` plus `failed_bits`: bit `rule.bit` is set where the rule fails."""
-    measured = measure(df, text_col)
+    measured = measure(df, text_col, keep_text)
     bits = F.lit(0).cast("long")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
