@@ -95,8 +95,8 @@ class ForcedBoundaryBpe:
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """The ids of distinct words, from their fragments' ids in order."""
         cut = [self.fragments(w) for w in words]
-        inner = iter(_ids_of(self.inner, [f for fs in cut if len(fs) > 1 for f in fs[:-1]]))
-        last = _ids_of(self.last, [fs[-1] for fs in cut])
+        inner = iter(ids_of(self.inner, [f for fs in cut if len(fs) > 1 for f in fs[:-1]]))
+        last = ids_of(self.last, [fs[-1] for fs in cut])
         return {word: end if len(fs) == 1 else b"".join([next(inner) for _ in fs[1:]]) + end
                 for word, fs, end in zip(words, cut, last, strict=True)}
 
@@ -160,11 +160,12 @@ class ForcedBoundaryBpe:
         return self.library.decode(numbers, skip_special_tokens=False)
 
 
-def _ids_of(tokenizer, words: list[str]) -> list[bytes]:
+def ids_of(tokenizer, words: list[str], code: str = "<u4") -> list[bytes]:
     """The ids of each word. Words of a byte-level alphabet hold no white space."""
     encoding = tokenizer.encode(" ".join(words), add_special_tokens=False)
-    raw = np.array(encoding.ids, "<u4").tobytes()
-    ends = (np.searchsorted(np.array(encoding.word_ids, np.int64), np.arange(1, len(words) + 1)) * 4).tolist()
+    ids = np.array(encoding.ids, code)
+    raw = ids.tobytes()
+    ends = (np.searchsorted(np.array(encoding.word_ids, np.int64), np.arange(1, len(words) + 1)) * ids.itemsize).tolist()
     return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 

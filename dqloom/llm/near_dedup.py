@@ -11,11 +11,12 @@ by all bands with a probability of at most `miss`. Documents that share a band's
 candidates.
 
 Verification. Equal sets are one class with one representative. Within a key no pairs are
-made at first: members are compared with the key's smallest member. Components follow, and
-only where a key still holds several components are the members outside its largest one
-compared with the others, where exact bounds allow a link at all: sizes must be close, and
-a shingle that no other candidate has can't be shared, which caps the intersection. Links
-are confirmed on full sets. So no link between different components goes untested.
+made at first: members are compared with the key's smallest member. Components follow. Where a key still holds several, its
+documents are compared across components if exact bounds allow a link at all: sizes must
+be close; a shingle that no other candidate has can't be shared, which caps the
+intersection; and the rarest shingles of both sets, as many as a link may leave out and one
+more, must have one in common. Links are confirmed on full sets. So no link between
+different components goes untested.
 
 Sets are compared by 64-bit hashes of shingles. Words are split at ASCII white space and
 lower-cased A-Z. Texts are read once for sketches; the candidates' are read again.
@@ -208,7 +209,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = _mapped(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), words_each, num / den, keys=False)
     if not repeated.isEmpty():
         sets = sets.dropDuplicates(["id", "n", "lo", "hi"])
-    sets = stored(sets.select("id", "n", "shingles"), "sets")
+    sets = stored(sets.select("id", "n", "lo", "shingles"), "sets")
 
     alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")) \
         .filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
@@ -238,13 +239,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = stored(confirmed(stars).unionByName(bridges), "linked")
     found = stored(connected_components(linked), "components")
 
+    # Keys that still hold several components: their documents' rarest shingles decide which
+    # of them can be linked at all. A set's prefix, its n - ceil(n * num / den) + 1 rarest
+    # shingles in one order for all, meets the prefix of every set that is similar enough.
     placed = sized.alias("k").join(found.alias("c"), F.col("k.rep") == F.col("c.node"), "left").select(
         "key", "rep", "n", "common", "free", F.coalesce("c.component", "rep").alias("comp"))
-    main = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
+    open_docs = stored(placed.join(open_keys, "key").select("rep", "comp", "n", "common", "free").distinct(), "open")
+    spelled = sets.join(open_docs.select(F.col("rep").alias("id")), "id").select("id", "lo", F.explode("shingles").alias("s"))
+    rarity = spelled.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
+    length = F.expr(f"size(shingles) - (size(shingles) * {num} + {den - 1}) div {den} + 1").cast("int")
+    prefixes = spelled.join(rarity, "s").groupBy("id", "lo").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("shingles")).select(
+        F.col("id").alias("rep"), F.transform(F.slice("shingles", F.lit(1), length), lambda x: x["s"]).alias("prefix"))
+    rest = stored(open_docs.join(prefixes, "rep").select("*", F.explode("prefix").alias("key")), "prefixes")
+    main = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
         F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("key", "main")
-    rest = stored(placed.join(main, "key"), "rest")
+    rest = stored(rest.join(main, "key"), "rest")
+    # A pair is made under the first shingle its prefixes share, and only there.
     across = rest.filter("comp <> main").alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-                                                         & possible("x", "y"))
+        & possible("x", "y") & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+        & (F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.key")))
     pairs = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
     more = confirmed(pairs)
     known = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -29,18 +29,20 @@ store; other columns are not stored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_KEY_BYTES, sliced, tokenizer_text
+from .bpe import MEMO_KEY_BYTES, ids_of, sliced, tokenizer_text
 from .common import fresh_path, ship, stored, unit_interval
 
 END_ID = 0
@@ -48,47 +50,91 @@ SAMPLE_DOCS = 512
 SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 65_536
 BLOCK_BYTES = 1 << 20
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 500_000
 LEVEL = 3
 STRETCH = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: ASCII and Latin-1 letters, in UTF-8, after at most one space: one word to the tokenizer.
+LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: White space beyond ASCII, next to which a text must not be cut, in UTF-8.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+
 class Encoder:
     """Encodes by stretches that end before white space: no token of a byte-level
-    tokenizer starts in visible text and goes on over white space."""
+    tokenizer starts in visible text and goes on over white space. Stretches beside other
+    than ASCII white space aren't cut for sure; their texts are encoded whole."""
 
     def __init__(self, text: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_str(text)
         self.library.no_truncation()
         self.library.no_padding()
         self.code = "H" if self.library.get_vocab_size(True) <= 1 << 16 else "I"
+        special = [t.content for t in self.library.get_added_tokens_decoder().values() if t.special and not t.lstrip and not t.rstrip]
+        self.mark = special[0] if special else None
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.words = None
+        splitter = json.loads(text)["pre_tokenizer"] or {}
+        if splitter.get("type") == "ByteLevel" and splitter["use_regex"] and not splitter["add_prefix_space"]:
+            self.words = Tokenizer(self.library.model)
+            self.words.pre_tokenizer = WhitespaceSplit()
         self.memo: dict[bytes, bytes | None] = {}
+        self.old: dict[bytes, bytes | None] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of each text. Texts without the mark, a special token, are encoded in one
+        call, with the mark between them: it ends what stands before it like a text's end."""
+        if self.mark is None or any(self.mark in t for t in texts):
+            return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
+        ids = np.array(self.library.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, self.code)
+        ends = np.append(np.flatnonzero(ids == self.library.token_to_id(self.mark)), len(ids)).tolist()
+        raw, width = ids.tobytes(), ids.itemsize
+        return [raw[a * width:b * width] for a, b in zip([0, *[e + 1 for e in ends]], ends, strict=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        split = [STRETCH.findall(t) for t in texts]
-        new = list({s for stretches in split for s in stretches if s not in memo})
-        words = [s.decode() for s in new]
-        once: dict[bytes, bytes | None] = {}
-        for stretch, word, ids in zip(new, words, self._library(words), strict=True):
-            (memo if len(stretch) <= MEMO_KEY_BYTES else once)[stretch] = None if OTHER_SPACE.search(word) else ids
+        if len(self.memo) > MEMO_ENTRIES:
+            self.old, self.memo = self.memo, {}
+        memo, old, split = self.memo, self.old, [STRETCH.findall(t) for t in texts]
+        new = set().union(*split).difference(memo)
+        again = {s: old[s] for s in new if s in old}
+        memo |= again
+        new = list(new.difference(again))
+        letters = [s for s in new if LETTERS.fullmatch(s)] if self.words else []
+        found = dict(zip(letters, ids_of(self.words, [s.decode("latin-1").translate(self.alphabet) for s in letters], self.code), strict=True))
+        other = [s for s in new if s not in found] if letters else new
+        texts_of = [s.decode() for s in other]
+        marked = [s for s, t in zip(other, texts_of, strict=True) if self.mark and self.mark in t]
+        if marked:
+            other = [s for s in other if s not in set(marked)]
+            texts_of = [s.decode() for s in other]
+            found |= dict(zip(marked, self._library([s.decode() for s in marked]), strict=True))
+        found |= dict(zip(other, self._library(texts_of), strict=True))
+        for stretch, text in zip(other, texts_of, strict=True):
+            if OTHER_SPACE.search(text):
+                found[stretch] = None
+        long = {s: found.pop(s) for s in [s for s in found if len(s) > MEMO_KEY_BYTES]}
+        memo |= found
         out = []
         for text, stretches in zip(texts, split, strict=True):
-            known = [memo[s] if s in memo else once[s] for s in stretches] if once else list(map(memo.__getitem__, stretches))
+            known = [memo[s] if s in memo else long[s] for s in stretches] if long else list(map(memo.__getitem__, stretches))
             out.append(self._library([text.decode()])[0] if None in known else b"".join(known))
         return out
 
 
+def byte_alphabet() -> str:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it
+    is visible in Latin-1, else the next character from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(0x100, 0x200))
+    return "".join(chr(b) if b in shown else chr(next(hidden)) for b in range(256))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -207,7 +253,6 @@ def read(spark: SparkSession, path: str, wanted: list[int] | None = None) -> Dat
         blocks = blocks.filter(near)
     blocks = blocks.filter(F.col("dictionary_sha256") == learnt.sha256).join(index.select("part", "block", "start"), ["part", "block"]) \
         .select("start", "doc_ids", "counts", "offsets", "payload")
-    code = {2: "H", 4: "I"}[width]
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -221,7 +266,7 @@ def read(spark: SparkSession, path: str, wanted: list[int] | None = None) -> Dat
                 for k, (i, n) in enumerate(zip(ids, counts, strict=True)):
                     if only is None or i in only:
                         raw = open_frame(payload[offsets[k]:offsets[k + 1]])
-                        wide = raw if code == "I" else array("I", array(code, raw)).tobytes()
+                        wide = raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
                         starts.append((i, start, n))
                         found.append(wide)
                         size += len(wide)
