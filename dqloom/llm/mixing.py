@@ -74,17 +74,17 @@ def mix(df: DataFrame, size_col: str = "size", weight_col: str | None = None, id
         F.sum("s").alias("source_size"), F.sum((F.col("v") * 1048576).cast("decimal(38,0)") * F.col("s")).alias("vs"),
         F.max("v").alias("v_max"))
     aims = targets(totals, weights, share, max_copies)
-    rate = F.col("target") / F.col("source_size")
-    mean = F.col("vs").cast("double") / 1048576 / F.col("source_size")
+    rate = F.try_divide(F.col("target"), F.col("source_size"))
+    mean = F.try_divide(F.col("vs").cast("double") / 1048576, F.col("source_size"))
     aims = aims.withColumn("rate", F.coalesce(rate, F.lit(0.0))).withColumn("mean", F.coalesce(mean, F.lit(1.0)))
-    room = (max_copies / F.col("rate") - 1) / (F.col("v_max") / F.col("mean") - 1)
+    room = F.try_divide(F.try_divide(F.lit(float(max_copies)), F.col("rate")) - 1, F.try_divide(F.col("v_max"), F.col("mean")) - 1)
     aims = stored(aims.withColumn("tilt", F.when((F.col("v_max") > F.col("mean")) & (F.col("rate") > 0),
                                           F.greatest(F.lit(0.0), F.least(F.lit(1.0), room))).otherwise(0.0)), "aims")
 
     # A document's expected copies; what rounding adds beyond the limit is cut off.
     drawn = rows.drop("source").join(aims.drop("source", "vs", "v_max"), "src")
     drawn = drawn.withColumn("e", F.least(F.lit(float(max_copies)), F.round(
-        F.col("rate") * (1 + F.col("tilt") * (F.col("v") / F.col("mean") - 1)), 9)))
+        F.col("rate") * (1 + F.col("tilt") * (F.coalesce(F.try_divide(F.col("v"), F.col("mean")), F.lit(1.0)) - 1)), 9)))
     drawn = drawn.withColumn("sure", F.floor("e").cast("long")).withColumn("p", F.col("e") - F.col("sure"))
     chance = F.col("p") > 0
     drawn = drawn.withColumn("q", F.when(chance, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
@@ -92,7 +92,7 @@ def mix(df: DataFrame, size_col: str = "size", weight_col: str | None = None, id
         F.sum(F.col("sure") * F.col("s")).alias("sure_size"),
         F.coalesce(F.sum(F.when(chance, F.col("s"))), F.lit(0)).alias("chance_size"))
     rest = F.greatest(F.lit(0.0), F.col("target") - F.col("sure_size"))
-    typical = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.coalesce(rest / F.col("chance_size"), F.lit(0.5))))
+    typical = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.coalesce(F.try_divide(rest, F.col("chance_size")), F.lit(0.5))))
     asked = stored(asked.select("src", rest.alias("rest"), (typical / (1 - typical)).alias("odds")), "asked")
     spread = F.col("q") * F.col("odds")
     drawn = drawn.join(asked, "src").withColumn(

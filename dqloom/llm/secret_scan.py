@@ -84,7 +84,7 @@ def _hits(text: Column, pattern: str, group: int) -> Column:
 
 def parts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate and scope break (row, id, kind, start, end, ok), and one with
-    a null kind per text, so that texts without any stay in the result."""
+    a null kind per text, so that texts whose candidates all fail stay in the result."""
     text = F.col("t")
     shape = "array<struct<kind:int,at:int,gap:int,len:int,ok:boolean>>"
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
@@ -100,7 +100,8 @@ def parts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     found = rows.select("row", "id", "t", F.concat(*[listed(n, k) for n, k in enumerate(KINDS)]).alias("p"))
     weak = F.exists("p", lambda x: (x["kind"] >= F.lit(sum(k.base for k in KINDS))) & x["ok"])
     breaks = F.when(weak, listed(len(KINDS), SCOPE_BREAK)).otherwise(F.array().cast(shape))
-    flat = found.select("row", "id", F.explode_outer(F.concat("p", breaks)).alias("p")).select("row", "id", "p.*")
+    present = F.array(F.struct(F.lit(None).alias("kind"), F.lit(0).alias("at"), F.lit(0).alias("gap"), F.lit(0).alias("len"), F.lit(False).alias("ok"))).cast(shape)
+    flat = found.select("row", "id", F.explode(F.concat("p", breaks, present)).alias("p")).select("row", "id", "p.*")
     flat = flat.repartition("row")
     so_far = W.partitionBy("row", "kind").orderBy("at")
     ended = F.sum(F.col("gap") + F.col("len")).over(so_far)
@@ -108,8 +109,8 @@ def parts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """All reported spans: row, id, kind, start, end, base; a null kind marks a text
-    without candidates."""
+    """All reported spans: row, id, kind, start, end, base; besides, one row with a null
+    kind per text."""
     kind, start = F.col("kind"), F.col("start")
     base_kinds, real = sum(k.base for k in KINDS), len(KINDS)
     roles = {role: kind.isin(*[n for n, k in enumerate(KINDS) if k.role == role]) for role in ("secret", "identifier", "endpoint")}
