@@ -408,7 +408,7 @@ _NAME_FAILS = (f"{_present('c_name')} AND NOT regexp_matches({_strip('c_name')},
 def rca_concentration(spark, sf):
     ctx = context(spark, sf)
     orders = ctx.tables["orders"]
-    columns = rca.low_cardinality_columns(orders, ["o_totalprice"])[:rca.REPORTED_COLUMNS]
+    columns = rca.low_cardinality_columns(orders, ["o_totalprice"])
     return rca.concentration(failing_rows(orders, _RANGE, ctx), columns)
 
 

@@ -33,8 +33,8 @@ DATE_SHAPE = (
 # Format directives and the Spark letters that read them.
 DIRECTIVES = {
     "Y": "yyyy", "m": "M", "d": "d", "b": "MMM", "B": "MMMM", "y": "yy",
-    "H": "H", "M": "m", "S": "s", "f": "SSSSSS", "p": "a", "I": "h", "j": "D",
-    "a": "EEE", "A": "EEEE",
+    "H": "H", "M": "m", "S": "s", "f": "[SSSSSS][SSSSS][SSSS][SSS][SS][S]", "p": "a", "I": "h", "j": "D",
+    "a": "EEE", "A": "EEEE", "z": "[XXX][XX]",
 }
 
 
@@ -56,7 +56,9 @@ def spark_pattern(fmt: str) -> str:
 
 def parse_format(c: Column, fmt: str) -> Column:
     """Strict parse under one format; NULL when it does not fit."""
-    return F.try_to_timestamp(c, F.lit(spark_pattern(fmt)))
+    parsed = F.try_to_timestamp(c, F.lit(spark_pattern(fmt)))
+    # The optional fraction still asks for a digit.
+    return F.when(c.rlike(r"\d$"), parsed) if fmt.endswith("%f") else parsed
 
 
 def without_clock(c: Column) -> Column:

@@ -112,7 +112,11 @@ def canonical_key(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, FRACTIONAL):
         v = null_if_nan(c, dtype).cast("double")
         whole = (v == F.floor(v)) & (F.abs(v) < F.lit(9.2e18))
-        return F.when(whole, v.try_cast("bigint").cast("string")).otherwise(v.cast("string"))
+        # Plain digits as in text and decimal keys; only what 18 places can't hold keeps its exponent.
+        plain = F.regexp_replace(v.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+        exponent = v.cast("string").contains("E")
+        part = F.when(exponent & F.coalesce(plain.try_cast("double") == v, F.lit(False)), plain).otherwise(v.cast("string"))
+        return F.when(whole, v.try_cast("bigint").cast("string")).otherwise(part)
     if isinstance(dtype, T.DecimalType):
         whole = c == F.floor(c)
         return F.when(whole, c.cast(T.DecimalType(dtype.precision, 0)).cast("string")).otherwise(

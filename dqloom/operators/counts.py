@@ -18,6 +18,8 @@ from dqloom.operators.frequency import (
 )
 
 TOP_VALUES = 10
+# Columns with no more values than this are listed in full.
+LISTED_VALUES = 25
 LOW_CARDINALITY = 50
 NEAR_CONSTANT = 0.98
 COLUMNS_PER_PASS = 100

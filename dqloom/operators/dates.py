@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dqloom.functions import dates as dt
 from dqloom.functions import names
@@ -249,7 +250,12 @@ def monotonic(df: DataFrame, column: str, order_by: str) -> DataFrame:
         .withColumn("g", F.lit(0))
         .withColumn("w", F.lit(1))
     )
-    ranged = with_ranges(folded, ["g"], "o", "w")
+    if isinstance(df.schema[order_by].dataType, T.NumericType):
+        ranged = with_ranges(folded, ["g"], "o", "w")
+    else:
+        # Text, dates and times have no sketch; Spark's range partitioning cuts them.
+        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = folded.repartitionByRange(width, "o").withColumn("rng", F.spark_partition_id())
     inside = Window.partitionBy("g", "rng").orderBy("o")
     steps = ranged.withColumn("p_lo", F.lag("lo").over(inside)).withColumn(
         "p_hi", F.lag("hi").over(inside)

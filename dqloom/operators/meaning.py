@@ -62,7 +62,6 @@ STRONG_MARGIN, PROBABLE_MARGIN = 0.12, 0.05
 MIN_COVERAGE = 0.50
 PATTERN_COVERAGE = 0.6
 MIN_UNIQUE_SAMPLE = 10
-CANDIDATES = 8
 ALTERNATIVES = 5
 
 # Which observed roles fit which concept role.
@@ -172,12 +171,13 @@ def _search(block_ids: list, block: np.ndarray, k: int):
             norms = np.linalg.norm(queries, axis=1, keepdims=True)
             scores = queries @ block.T / np.where(norms == 0, 1.0, norms)
             take = min(k, scores.shape[1])
-            best = np.argpartition(-scores, take - 1, axis=1)[:, :take]
-            rows = np.repeat(np.arange(len(pdf)), take)
+            # All rows as good as the k-th, so that ties are decided by id and not by place.
+            least = -np.partition(-scores, take - 1, axis=1)[:, take - 1:take]
+            rows, best = np.nonzero(scores >= least)
             yield pd.DataFrame({
                 "id": pdf["id"].to_numpy()[rows],
-                "concept_id": np.asarray(block_ids)[best.ravel()],
-                "similarity": scores[rows, best.ravel()],
+                "concept_id": np.asarray(block_ids)[best],
+                "similarity": scores[rows, best],
             })
 
     return run

@@ -16,7 +16,6 @@ TOP_PATTERNS = 5
 TOP_REPEATS = 3
 MIN_REPEAT = 2
 MAX_CATEGORIES = 50
-REPORTED_COLUMNS = 8
 
 
 def rule_columns(rule: Mapping[str, Any]) -> list[str]:
@@ -128,7 +127,7 @@ def repeated_values(failing: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def analyze_failures(
     rules: Sequence[Mapping[str, Any]], ctx: Context,
-    reported_columns: int | None = REPORTED_COLUMNS,
+    reported_columns: int | None = None,
 ) -> DataFrame:
     """A4: all three views for every given rule, as one long frame."""
     from dqloom.plans.quality import failing_rows

@@ -213,7 +213,7 @@ def rule_candidates(
     number = F.col("numeric").isNotNull()
     emails = _concept_in(EMAIL_CONCEPTS) & F.coalesce(F.col("text.email_like") > 0, F.lit(False))
     flags = F.struct(F.lit(True).alias("ignore_nulls"), F.lit(True).alias("normalize_whitespace"))
-    listed = F.struct(F.transform("top_values", lambda v: v["value"]).alias("allowed_values"))
+    listed = F.struct(F.col("category_values").alias("allowed_values"))
     bounds = F.struct(F.col("numeric.min").alias("min"), F.col("numeric.max").alias("max"))
     linked = c.filter(F.size("parents") > 0).withColumn("p", F.explode("parents"))
     key = F.struct(
@@ -243,7 +243,7 @@ def rule_candidates(
         _rule(c, number & F.col("numeric.min").isNotNull(), "validity", "NUMERIC_RANGE", "low",
               0.2, bounds),
         _rule(c, _is_date(), "validity", "DATE_FORMAT", "medium", w["pattern_evidence"]),
-        _rule(c, F.coalesce(F.size("top_values").between(1, 25), F.lit(False)), "validity",
+        _rule(c, F.coalesce(F.size("category_values") >= 1, F.lit(False)), "validity",
               "ALLOWED_VALUES", "low", 0.2, listed),
         _rule(linked, every, "referential_integrity", "FOREIGN_KEY_EXISTS", "high",
               w["approved_relationship"], key),

@@ -140,6 +140,8 @@ class _NotContaining(_Absent):
         texts = groups.select(key, F.sha2(key, 256).alias("id"))
         # At most six sizes come back to the driver.
         sizes = [r["k"] for r in entries.select("k").distinct().collect()]
+        if not self.allowed.filter(F.col("key0") == "").isEmpty():
+            return groups.filter(F.lit(False))  # every text contains the empty entry
         matched = None
         for size in sorted(sizes):
             overlapping = F.regexp_extract_all(key, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)

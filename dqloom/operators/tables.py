@@ -18,17 +18,14 @@ COMPOSITE_UNIQUENESS = 95.0
 COMPOSITE_NEAR_EXACT = 99.9
 COMPOSITE_PIGEONHOLE = 0.5
 COMPOSITE_COVERAGE = 0.5
-COMPOSITE_REPORTED = 3
 COMPOSITE_MAX_COLUMNS = 3
 COMPOSITES_PER_JOB = 12
 SKETCHES_PER_JOB = 64
 SKETCH_LG_K = 16
-# Seven standard errors of a sketch of that size.
-SKETCH_MARGIN = 7 * 0.83 / 2 ** (SKETCH_LG_K / 2)
+# Seven standard errors of merged sketches of that size.
+SKETCH_MARGIN = 7 * 1.04 / 2 ** (SKETCH_LG_K / 2)
 FD_COVERAGE = 98.0
 FD_MIN_ROWS = 30
-FD_REPORTED = 30
-FD_MAX_COLUMNS = 40
 FD_UNIQUE_RATIO = 0.95
 FD_SCHEMA = (
     "determinant string, dependent string, evaluated_rows long, violating_rows long, "
@@ -165,9 +162,11 @@ def composite_uniqueness(
 
 def composite_candidates(
     df: DataFrame, column_facts: Sequence[dict], row_count: int,
-    max_evaluations: int | None = None, reported: int = COMPOSITE_REPORTED,
+    max_evaluations: int | None = None, reported: int | None = None,
+    width: int = COMPOSITE_MAX_COLUMNS,
 ) -> DataFrame:
-    """Pairs, then triples, of columns that identify (nearly) every row.
+    """Pairs, then triples (up to `width`), of columns that identify (nearly) every
+    row; all of them, or the `reported` best.
 
     `column_facts` is one small dict per column: name, distinct_count,
     non_null_count, is_constant, is_float_measure, is_free_text, is_key_like. The
@@ -185,7 +184,7 @@ def composite_candidates(
     found: list[tuple] = []
     unique: set[frozenset[str]] = set()
     evaluated = 0
-    for size in range(2, min(COMPOSITE_MAX_COLUMNS, len(eligible)) + 1):
+    for size in range(2, min(width, len(eligible)) + 1):
         combos = [
             c for c in itertools.combinations(eligible, size)
             if math.prod(eligible[x]["distinct_count"] for x in c)

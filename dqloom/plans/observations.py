@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_OBSERVATIONS = 60
 ROWS_COMPLETE = 90.0
 
 
@@ -26,19 +25,20 @@ def _finding(
 
 def observations(
     columns: DataFrame, duplicates: DataFrame, completeness: DataFrame, composites: DataFrame,
-    dependencies: DataFrame, limit: int = MAX_OBSERVATIONS,
+    dependencies: DataFrame, limit: int | None = None,
 ) -> DataFrame:
-    """severity, code, column and evidence of every finding, at most `limit` in order."""
+    """severity, code, column and evidence of every finding in order; a display may ask for
+    the first `limit`."""
     frames = table_findings(columns, duplicates, completeness, composites, dependencies)
     frames += column_findings(columns)
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
     order = Window.orderBy("pos", "rank", "column_name")
-    return (
-        out.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
-        .select("n", "severity", "code", "column_name", "evidence")
-    )
+    numbered = out.withColumn("n", F.row_number().over(order))
+    if limit is not None:
+        numbered = numbered.filter(F.col("n") <= limit)
+    return numbered.select("n", "severity", "code", "column_name", "evidence")
 
 
 def table_findings(

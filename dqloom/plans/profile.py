@@ -222,7 +222,7 @@ def column_profile(df: DataFrame, as_of: str | datetime.datetime) -> DataFrame:
         for name, members, vft in (("n", numbers, number_vft), ("o", others, other_vft)):
             if vft is not None:
                 wanted["distinct_" + name] = counts.distinct_summary(vft).drop("top_count")
-                wanted["top_" + name] = counts.top_values(df, members, vft=vft)
+                wanted["top_" + name] = counts.top_values(df, members, vft=vft, k=counts.LISTED_VALUES)
         got = together(wanted)
         scan = _merged([got[k] for k in got if k.startswith("scan_")])
         out = catalog.join(scan.select(
@@ -232,10 +232,15 @@ def column_profile(df: DataFrame, as_of: str | datetime.datetime) -> DataFrame:
         summary = _union([got[k] for k in got if k.startswith("distinct_")])
         out = out.join(summary, "pos", "left")
         packed = _union([got[k] for k in got if k.startswith("top_")]).groupBy("column_name").agg(
-            F.sort_array(
-                F.collect_list(F.struct("position", "value", "count", "percentage"))
-            ).alias("top_values"),
-        )
+            F.sort_array(F.collect_list(F.when(
+                F.col("position") <= counts.TOP_VALUES, F.struct("position", "value", "count", "percentage")
+            ))).alias("top_values"),
+            F.sort_array(F.collect_list(F.when(
+                F.col("category_count") <= counts.LISTED_VALUES, F.struct("position", "value")
+            ))).alias("listed"),
+        ).withColumn("category_values", F.when(
+            F.size("listed") > 0, F.transform("listed", lambda v: v["value"])
+        )).drop("listed")
         out = out.join(packed, "column_name", "left")
         if number_vft is not None:
             block = _numeric_block(got["scan_numeric"], number_vft)
@@ -331,6 +336,7 @@ EMPTY_BLOCKS = {
                 "count:bigint,min:timestamp,max:timestamp,span_days:double,"
                 "has_time_component:boolean,future_date_percentage:double>",
     "top_values": "array<struct<position:int,value:string,count:bigint,percentage:double>>",
+    "category_values": "array<string>",
 }
 
 
@@ -404,7 +410,7 @@ def _finish(out: DataFrame) -> DataFrame:
             "leading_zero_loss_suspected"),
         (is_number & ~integer & ~constant).alias("float_measure"),
         free_text.alias("free_text"),
-        "numeric", "text", "datetime", "top_values",
+        "numeric", "text", "datetime", "top_values", "category_values",
     )
 
 
@@ -433,7 +439,7 @@ def column_facts(columns: DataFrame) -> list[dict]:
     return [r.asDict() for r in rows]
 
 
-def dependency_columns(facts: list[dict], limit: int | None = tables.FD_MAX_COLUMNS) -> list[str]:
+def dependency_columns(facts: list[dict], limit: int | None = None) -> list[str]:
     """Columns that can take part in a dependency, least distinct first."""
     ratio = {
         c["column_name"]: c["distinct_count"] / c["non_null_count"] for c in facts
@@ -448,7 +454,7 @@ def dependency_columns(facts: list[dict], limit: int | None = tables.FD_MAX_COLU
 
 
 def table_dependencies(df: DataFrame, facts: list[dict]) -> DataFrame:
-    """B5, B6 with the reporting limit of 30."""
+    """Every dependency left after reduction; broken pairs come last."""
     chosen = dependency_columns(facts)
     if len(chosen) < 2:
         return df.sparkSession.createDataFrame([], tables.FD_SCHEMA)
@@ -456,7 +462,7 @@ def table_dependencies(df: DataFrame, facts: list[dict]) -> DataFrame:
     pairs = small(tables.functional_dependencies(df, chosen))
     return tables.reduce_dependencies(pairs).orderBy(
         F.col("coverage_percentage").desc(), "determinant", "dependent"
-    ).limit(tables.FD_REPORTED)
+    )
 
 
 def profile_table(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ from dqloom.operators.rules import (
     with_rates,
 )
 from dqloom.operators.setrules import set_rule
+from dqloom.plans.profile import small
 
 RULE_SCHEMA = (
     "rule_id string, table_name string, column_name string, metric string, "
@@ -74,7 +75,8 @@ def run_rules(
     """Results of all approved rules; a rule that cannot run is an error row.
 
     Row-level rules of one table share a scan; every set-level rule adds its own
-    aggregation. Nothing is evaluated before the result is read.
+    aggregation. Results, one row per rule, are evaluated here: if a shared scan fails
+    on some value, its rules run one by one and only the failing ones become errors.
     """
     approved = [r for r in rules if r.get("status", "approved") == "approved"]
     parts: list[DataFrame] = []
@@ -82,6 +84,16 @@ def run_rules(
     by_table: dict[str, list[Mapping[str, Any]]] = {}
     for r in approved:
         by_table.setdefault(r["table"], []).append(r)
+
+    def attempt(rule_id: str, counts: Callable[[], DataFrame]) -> None:
+        try:
+            parts.append(small(counts().select(
+                F.lit(rule_id).alias("rule_id"), "total_rows", "applicable_rows",
+                "failed_rows", F.lit(None).cast("string").alias("error_message"),
+            )))
+        except Exception as problem:  # noqa: BLE001 - any failure is an error result
+            errors.append((rule_id, None, None, None, str(problem)[:200]))
+
     for table, members in by_table.items():
         df = ctx.tables.get(table)
         compiled = {}
@@ -92,20 +104,21 @@ def run_rules(
                     raise RuleError(f"No table found: {table}")
                 if is_row_rule(r):
                     row = row_rule(df, r, ctx)
-                    df.select(row.applicable, row.failed)  # analysed here, run later
+                    df.select(row.applicable, row.failed)
                     compiled[rule_id] = row
-                else:
-                    counts = set_rule(df, r, ctx).counts()
-                    parts.append(counts.select(
-                        F.lit(rule_id).alias("rule_id"), "total_rows", "applicable_rows",
-                        "failed_rows", F.lit(None).cast("string").alias("error_message"),
-                    ))
-            except Exception as problem:  # noqa: BLE001 - any failure is an error result
+            except Exception as problem:  # noqa: BLE001
                 errors.append((rule_id, None, None, None, str(problem)[:200]))
+                continue
+            if rule_id not in compiled:
+                attempt(rule_id, lambda r=r, df=df: set_rule(df, r, ctx).counts())
         if compiled:
-            parts.append(row_rule_counts(df, compiled).withColumn(
-                "error_message", F.lit(None).cast("string")
-            ))
+            try:
+                parts.append(small(row_rule_counts(df, compiled).withColumn(
+                    "error_message", F.lit(None).cast("string")
+                )))
+            except Exception:  # noqa: BLE001 - one of them failed: which, only single runs tell
+                for rule_id, row in compiled.items():
+                    attempt(rule_id, lambda row=row, df=df: row_rule_counts(df, {"r": row}))
     out = spark.createDataFrame(errors, COUNTS_SCHEMA)
     for part in parts:
         out = out.unionByName(part)

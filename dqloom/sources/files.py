@@ -12,32 +12,21 @@ from pyspark.sql import types as T
 from dqloom.functions import names
 from dqloom.functions.missing import parse_number, quoted, strip
 
-UNREADABLE = "\ufffd"
-# Encodings tried in order when the text is not UTF-8.
-FALLBACK_ENCODINGS = ("windows-1252", "ISO-8859-1")
+# What Windows-1252 has at the bytes 0x80 to 0x9F; five are undefined.
+WINDOWS_1252 = {
+    0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ",
+    0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“",
+    0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›",
+    0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ",
+}
 
 
-def _csv(
-    spark: SparkSession, path: str, encoding: str, na_values: Sequence[str], multi_line: bool
-) -> DataFrame:
-    df = spark.read.csv(
-        path, header=True, inferSchema=False, encoding=encoding, multiLine=multi_line,
-        escape='"', nullValue="", emptyValue="",
-    )
-    for name in df.columns if na_values else []:
-        c = quoted(name)
-        df = df.withColumn(name, F.when(~c.isin(*na_values), c))
-    return df
-
-
-def _has_unreadable(df: DataFrame) -> bool:
-    """Did any cell or header fail to decode? Stops at the first that did."""
-    if any(UNREADABLE in name for name in df.columns):
-        return True
-    bad = F.lit(False)
-    for name in df.columns:
-        bad = bad | F.coalesce(quoted(name).contains(UNREADABLE), F.lit(False))
-    return not df.filter(bad).isEmpty()
+def _is_utf8(name: str) -> bool:
+    try:
+        name.encode("iso-8859-1").decode("utf-8")
+    except UnicodeError:
+        return False
+    return True
 
 
 def read_text_table(
@@ -45,22 +34,29 @@ def read_text_table(
 ) -> DataFrame:
     """A CSV with every column as text: UTF-8, else Windows-1252, else Latin-1.
 
+    The file is read byte for byte, so what its bytes are decides, not how they look
+    once decoded: a replacement character that really stands in a UTF-8 file is kept.
     Only the empty field is NULL unless `na_values` names more. `multi_line` allows
     line breaks inside quoted cells, at the price of one task per file.
     """
-    df = _csv(spark, path, "UTF-8", na_values, multi_line)
-    if not _has_unreadable(df):
-        return df
-    for encoding in FALLBACK_ENCODINGS:
-        try:
-            if encoding == "windows-1252":
-                spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-            df = _csv(spark, path, encoding, na_values, multi_line)
-            if not _has_unreadable(df):
-                return df
-        except Exception:  # noqa: BLE001 - an encoding the runtime refuses
-            continue
-    return df
+    raw = spark.read.csv(
+        path, header=True, inferSchema=False, encoding="ISO-8859-1", multiLine=multi_line,
+        escape='"', nullValue="", emptyValue="",
+    )
+    octets = {name: F.encode(quoted(name), "ISO-8859-1").cast("string") for name in raw.columns}
+    bad = F.lit(False)
+    for c in octets.values():
+        bad = bad | F.coalesce(~F.is_valid_utf8(c), F.lit(False))
+    utf8 = all(map(_is_utf8, raw.columns)) and raw.filter(bad).isEmpty()
+    low, high = "".join(map(chr, WINDOWS_1252)), "".join(WINDOWS_1252.values())
+    columns = []
+    for name in raw.columns:
+        c = octets[name] if utf8 else F.translate(quoted(name), low, high)
+        shown = name.encode("iso-8859-1").decode("utf-8").removeprefix("\ufeff") if utf8 else name.translate(WINDOWS_1252)
+        if na_values:
+            c = F.when(~c.isin(*na_values), c)
+        columns.append(c.alias(shown))
+    return raw.select(*columns)
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -85,7 +81,9 @@ def typed(df: DataFrame) -> DataFrame:
         aggregates += [
             F.count_if(filled).alias(f"n{i}"),
             every(number.isNotNull()).alias(f"num{i}"),
-            every(c.rlike(r"^[+-]?\d{1,18}$")).alias(f"int{i}"),
+            every(c.rlike(r"^[+-]?\d+$") & c.try_cast("bigint").isNotNull()).alias(f"int{i}"),
+            every(c.rlike(r"^[+-]?\d{1,38}$")).alias(f"wide{i}"),
+            every(c.rlike(r"^[+-]?\d+$")).alias(f"digits{i}"),
             every(F.lower(c).isin("true", "false")).alias(f"bool{i}"),
             F.coalesce(F.bool_or(c.rlike(r"^0\d+$")), F.lit(False)).alias(f"zero{i}"),
             names.has_token(F.lit(name), names.CODE_TOKENS).alias(f"code{i}"),
@@ -102,6 +100,10 @@ def typed(df: DataFrame) -> DataFrame:
             columns.append(F.nullif(strip(c), F.lit("")).alias(name))
         elif row[f"int{i}"]:
             columns.append(strip(c).try_cast("bigint").alias(name))
+        elif row[f"wide{i}"]:
+            columns.append(strip(c).try_cast("decimal(38,0)").alias(name))
+        elif row[f"digits{i}"]:
+            columns.append(F.nullif(strip(c), F.lit("")).alias(name))
         elif row[f"num{i}"]:
             columns.append(parse_number(c).alias(name))
         elif row[f"bool{i}"]:

@@ -21,6 +21,11 @@ def _list(spark: SparkSession, root: str) -> DataFrame:
         raise
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def versions(spark: SparkSession, root: str) -> DataFrame:
     return _list(spark, root)
 
@@ -32,7 +37,8 @@ def write_version(
     """Write the next version of a dataset; an existing one is never changed.
 
     The parent has to be a version of the same dataset. Tables are written by the
-    executors; the version list gets its row last, so a failed write leaves no version.
+    executors; the version list gets its row last, so a failed write leaves no version,
+    only a folder whose number is not used again.
     """
     from dqloom.operators.counts import column_catalog
     from dqloom.sources.identity import schema_fingerprint
@@ -45,6 +51,8 @@ def write_version(
     if parent_version is not None and not row["has_parent"]:
         raise ValueError(f"version {parent_version} is not a version of {dataset_id}")
     number = (row["top"] or 0) + 1
+    while _exists(spark, f"{root}/{dataset_id}/v{number}"):
+        number += 1
     catalog = None
     for i, (name, df) in enumerate(tables.items()):
         df.write.mode("errorifexists").parquet(f"{root}/{dataset_id}/v{number}/{name}")
