@@ -239,25 +239,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = stored(confirmed(stars).unionByName(bridges), "linked")
     found = stored(connected_components(linked), "components")
 
-    # Keys that still hold several components: their documents' rarest shingles decide which
-    # of them can be linked at all. A set's prefix, its n - ceil(n * num / den) + 1 rarest
-    # shingles in one order for all, meets the prefix of every set that is similar enough.
+    # Keys that still hold several components: documents with a possible partner there, one
+    # outside the key's largest component on either side, are looked at more closely.
     placed = sized.alias("k").join(found.alias("c"), F.col("k.rep") == F.col("c.node"), "left").select(
         "key", "rep", "n", "common", "free", F.coalesce("c.component", "rep").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    open_docs = stored(placed.join(open_keys, "key").select("rep", "comp", "n", "common", "free").distinct(), "open")
+    held = stored(placed.join(_largest(placed), "key"), "held")
+    beside = held.filter("comp <> main")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y")
+    described = [F.col(f"x.{c}") for c in ("rep", "comp", "n", "common", "free")]
+    open_docs = stored(beside.alias("x").join(held.alias("y"), apart, "left_semi").select(*described).unionByName(
+        held.alias("x").join(beside.alias("y"), apart, "left_semi").select(*described)).distinct(), "open")
+    # Their rarest shingles decide which of them can be linked at all. A set's prefix, its
+    # n - ceil(n * num / den) + 1 rarest shingles in one order for all, meets the prefix of
+    # every set that is similar enough.
     spelled = sets.join(open_docs.select(F.col("rep").alias("id")), "id").select("id", "lo", F.explode("shingles").alias("s"))
     rarity = spelled.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
     length = F.expr(f"size(shingles) - (size(shingles) * {num} + {den - 1}) div {den} + 1").cast("int")
     prefixes = spelled.join(rarity, "s").groupBy("id", "lo").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("shingles")).select(
         F.col("id").alias("rep"), F.transform(F.slice("shingles", F.lit(1), length), lambda x: x["s"]).alias("prefix"))
     rest = stored(open_docs.join(prefixes, "rep").select("*", F.explode("prefix").alias("key")), "prefixes")
-    main = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
-        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("key", "main")
-    rest = stored(rest.join(main, "key"), "rest")
+    rest = stored(rest.join(_largest(rest), "key"), "rest")
     # A pair is made under the first shingle its prefixes share, and only there.
-    across = rest.filter("comp <> main").alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-        & possible("x", "y") & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+    across = rest.filter("comp <> main").alias("x").join(rest.alias("y"), apart & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
         & (F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.key")))
     pairs = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
     more = confirmed(pairs)
@@ -272,6 +275,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                       component.eqNullSafe(F.col("id")).alias("kept"))
 
 
+def _largest(placed: DataFrame) -> DataFrame:
+    """Per key with several components the one with most rows (key, main)."""
+    return placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
+        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("key", "main")
+
+
 def op2_query(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(documents, words_each=3, reach=(85, 100))
