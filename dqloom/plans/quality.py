@@ -101,7 +101,7 @@ def run_rules(
             rule_id = str(r["rule_id"])
             try:
                 if df is None:
-                    raise RuleError(f"No table found: {table}")
+                    raise RuleError(f"the table {table!r} is not loaded")
                 if is_row_rule(r):
                     row = row_rule(df, r, ctx)
                     df.select(row.applicable, row.failed)
