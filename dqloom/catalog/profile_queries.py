@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dqloom.catalog.inputs import dirty, dirty_sql, table, tall_sql
 from dqloom.catalog.registry import register
+from dqloom.functions import names
 from dqloom.functions import text as tx
 from dqloom.functions.dates import DATE_SHAPE
 from dqloom.functions.missing import WHITESPACE
@@ -116,13 +117,26 @@ def profile_constant(spark, sf):
     )
 
 
-@register("column_name_signals")
+def _words(tokens) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in tokens) + "]"
+
+
+@register("column_name_signals", f"""WITH n AS (
+        SELECT table_name, column_name, list_filter(string_split_regex(lower(regexp_replace(
+            column_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda t: t <> '') AS t
+        FROM information_schema.columns
+        WHERE table_name IN ('customer', 'orders', 'lineitem', 'part', 'events', 'documents'))
+    SELECT table_name, column_name, list_has_any(t, {_words(names.IDENTIFIER_STRONG_TOKENS)}) AS strong_name,
+           list_has_any(t, {_words(names.IDENTIFIER_WEAK_TOKENS)}) AS weak_name,
+           list_has_any(t, {_words(names.CODE_LIKE_TOKENS)}) AS code_name,
+           list_has_any(t, {_words(names.COMPACT_DATE_TOKENS)}) AS date_name,
+           array_to_string(t, ' ') AS tokens FROM n""")
 def column_name_signals(spark, sf):
-    names = None
+    columns = None
     for t in ("customer", "orders", "lineitem", "part", "events", "documents"):
         part = counts.column_catalog(table(spark, sf, t), t)
-        names = part if names is None else names.unionByName(part)
-    return counts.name_signals(names).select(
+        columns = part if columns is None else columns.unionByName(part)
+    return counts.name_signals(columns).select(
         "table_name", "column_name", "strong_name", "weak_name", "code_name", "date_name",
         F.array_join("name_tokens", " ").alias("tokens"),
     )
@@ -262,7 +276,20 @@ def integer_sequence(spark, sf):
     return o.unionByName(li)
 
 
-@register("code_like")
+@register("code_like", f"""WITH tall AS (
+        {tall_sql('orders', ['o_orderkey', 'o_custkey', 'o_totalprice'], 'DOUBLE')} UNION ALL
+        {tall_sql('events', ['event_id', 'user_id', 'value'], 'DOUBLE')}),
+    v AS (SELECT column_name, value, count(*) AS cnt FROM tall GROUP BY 1, 2),
+    l AS (SELECT *, value - lag(value) OVER (PARTITION BY column_name ORDER BY value) AS step FROM v),
+    s AS (SELECT column_name, bool_and(value = round(value)) AS whole, count(*) > 1 AS several,
+                 max(cnt) = 1 AS uniq, min(step) AS lo, max(step) AS hi, min(value) AS first
+          FROM l GROUP BY 1),
+    c AS (SELECT column_name, whole AS integer_valued, whole AND several AND lo = hi AND uniq AND first >= 0
+                 AS counter_like, uniq AND list_has_any(string_split(column_name, '_'),
+                 {_words(names.IDENTIFIER_STRONG_TOKENS)}) AS identifier_signal,
+                 list_has_any(string_split(column_name, '_'), {_words(names.CODE_LIKE_TOKENS)}) AS named FROM s)
+    SELECT column_name, integer_valued, counter_like, identifier_signal,
+           named OR (integer_valued AND (counter_like OR identifier_signal)) AS code_like FROM c""")
 def code_like(spark, sf):
     return numeric.code_like_columns(table(spark, sf, "orders")).unionByName(
         numeric.code_like_columns(table(spark, sf, "events"))

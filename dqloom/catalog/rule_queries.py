@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from dqloom.catalog.inputs import dirty, dirty_sql, table, tall_sql
+from dqloom.catalog.inputs import DIRTY, dirty, dirty_sql, table, tall_sql
 from dqloom.catalog.registry import register
 from dqloom.functions.missing import WHITESPACE
 from dqloom.functions.text import EMAIL
@@ -594,7 +594,16 @@ def drift_summary(spark, sf):
     return drift.drift_summary(drift.column_drift(base, comp), changes)
 
 
-@register("schema_drift")
+@register("schema_drift", f"""WITH {dirty_sql('customer')},
+    b AS (SELECT column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+                 WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS t
+          FROM information_schema.columns WHERE table_name = 'customer'),
+    r AS (SELECT """ + ", ".join(f"typeof({c}) AS {c}" for c in DIRTY["customer"]) + """ FROM dirty_customer LIMIT 1),
+    c AS (SELECT column_name, CASE t WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+                 ELSE 'string' END AS t FROM (UNPIVOT r ON COLUMNS(*) INTO NAME column_name VALUE t))
+    SELECT column_name, b.t AS baseline_type, c.t AS comparison_type,
+           CASE WHEN b.t IS NULL THEN 'added' WHEN c.t IS NULL THEN 'removed' ELSE 'retyped' END AS change
+    FROM b FULL JOIN c USING (column_name) WHERE b.t IS DISTINCT FROM c.t""")
 def schema_drift(spark, sf):
     clean, changed = table(spark, sf, "customer"), dirty(spark, sf, "customer")
     return drift.schema_changes(clean, changed)

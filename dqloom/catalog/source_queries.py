@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dqloom.catalog.inputs import TABLES, dirty, table
+from dqloom.catalog.inputs import DIRTY, TABLES, dirty, dirty_sql, table
 from dqloom.catalog.registry import register
 from dqloom.operators import tables
 from dqloom.operators.counts import column_catalog
@@ -107,7 +107,22 @@ def dataset_matches(spark, sf):
     )
 
 
-@register("typed_columns")
+_TYPED = [*DIRTY["customer"], "c_branch_code"]
+
+
+@register("typed_columns", f"""WITH {dirty_sql('customer')},
+    d AS (SELECT *, lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS c_branch_code FROM dirty_customer),
+    tall AS (""" + " UNION ALL ".join(
+        f"SELECT {i} AS pos, '{c}' AS column_name, trim(CAST({c} AS VARCHAR)) AS v FROM d" for i, c in enumerate(_TYPED)
+    ) + """),
+    f AS (SELECT pos, column_name, bool_and(TRY_CAST(v AS DOUBLE) IS NOT NULL) AS num,
+                 bool_and(regexp_matches(v, '^[+-]?[0-9]+$') AND TRY_CAST(v AS BIGINT) IS NOT NULL) AS whole,
+                 bool_or(regexp_matches(v, '^0[0-9]+$')) AND list_contains(string_split(column_name, '_'), 'code') AS code,
+                 bool_and(lower(v) IN ('true', 'false')) AS yes FROM tall WHERE v <> '' GROUP BY 1, 2),
+    t AS (SELECT pos, column_name, CASE WHEN num AND code THEN 'string' WHEN whole THEN 'bigint' WHEN num THEN 'double'
+                 WHEN yes THEN 'boolean' ELSE 'string' END AS data_type FROM f)
+    SELECT 'customer' AS table_name, CAST(pos AS INT) AS pos, column_name, data_type,
+           CASE WHEN data_type IN ('bigint', 'double') THEN 'numeric' ELSE data_type END AS kind FROM t""")
 def typed_columns(spark, sf):
     """Customers as raw text, typed from their values; phone codes keep leading zeros."""
     raw = dirty(spark, sf, "customer")
