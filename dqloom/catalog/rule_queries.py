@@ -12,7 +12,7 @@ from dqloom.functions.missing import WHITESPACE
 from dqloom.functions.text import EMAIL
 from dqloom.operators import drift, rca, remediation, scoring
 from dqloom.operators.rules import Context
-from dqloom.plans.quality import failing_rows, rule_counts, rule_frame, run_rules
+from dqloom.plans.quality import failing_rows, rule_counts, rule_examples, rule_frame, run_rules
 
 AS_OF = datetime.datetime(2000, 1, 1)
 WS = "'" + WHITESPACE + "'"
@@ -412,6 +412,18 @@ def rca_concentration(spark, sf):
     return rca.concentration(failing_rows(orders, _RANGE, ctx), columns)
 
 
+@register("rule_examples", f"""WITH {dirty_sql('orders')}, {dirty_sql('customer')},
+    f AS (SELECT 'price_range' AS rule_id, o_orderkey AS key, o_totalprice < 20000 AS low
+          FROM dirty_orders WHERE o_totalprice < 20000 OR o_totalprice > 400000
+          UNION ALL SELECT 'name', c_custkey, NULL FROM dirty_customer WHERE {_NAME_FAILS}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY key) AS place FROM f)
+    SELECT rule_id, CAST(place AS INT) AS place, CAST(key AS VARCHAR) AS key FROM r WHERE place <= 20""")
+def examples_of_rules(spark, sf):
+    shown = rule_examples([_RANGE, _NAME_RULE], context(spark, sf), {"orders": "o_orderkey", "customer": "c_custkey"})
+    key = F.coalesce(F.col("example")["o_orderkey"], F.col("example")["c_custkey"])
+    return shown.select("rule_id", "place", key.alias("key"))
+
+
 @register("rca_patterns", f"""WITH {dirty_sql('customer')},
     f AS (SELECT c_name AS v FROM dirty_customer WHERE {_NAME_FAILS})
     SELECT 'c_name' AS column_name, CASE WHEN v = '' THEN 'empty_string'

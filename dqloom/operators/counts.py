@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from dqloom.functions import names
 from dqloom.functions.missing import is_blank, is_empty, strip
 from dqloom.operators.frequency import (
+    LONG_TEXT,
     Field,
     column_name,
     display_text,
     fields_of,
+    spelled_out,
     value_frequencies,
 )
 
@@ -143,7 +145,7 @@ def distinct_counts(
             ),
             F.lit(True).alias("approximate"),
         )
-    summary = distinct_summary(value_frequencies(df, columns, digest_over=256))
+    summary = distinct_summary(value_frequencies(df, columns, digest_over=LONG_TEXT))
     return summary.select(
         column_name(fields_of(df)).alias("column_name"), "non_null_count", "distinct_count",
         "distinct_percentage",
@@ -152,7 +154,7 @@ def distinct_counts(
 
 def duplicate_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """C4: rows in value groups larger than one, and the excess over one per value."""
-    summary = distinct_summary(value_frequencies(df, columns, digest_over=256))
+    summary = distinct_summary(value_frequencies(df, columns, digest_over=LONG_TEXT))
     return summary.select(
         column_name(fields_of(df)).alias("column_name"), "duplicate_count",
         "duplicate_excess_count",
@@ -161,12 +163,13 @@ def duplicate_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 def constant_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Constant and near-constant columns with the share of the top value."""
-    summary = distinct_summary(value_frequencies(df, columns, digest_over=256))
-    return summary.select(
+    summary = distinct_summary(value_frequencies(df, columns, digest_over=LONG_TEXT))
+    shown = summary.select(
         column_name(fields_of(df)).alias("column_name"), "constant", "near_constant",
         F.round(F.col("top_value_share") * 100, 4).alias("top_value_share_percentage"),
         "representative_value",
     )
+    return spelled_out(df, shown, "representative_value")
 
 
 def top_values(
@@ -175,8 +178,9 @@ def top_values(
 ) -> DataFrame:
     """The k most frequent values of categorical columns (no datetimes)."""
     fields = [f for f in fields_of(df, columns) if f.kind != "datetime"]
+    alone = vft is None
     if vft is None:
-        vft = value_frequencies(df, [f.name for f in fields], digest_over=256)
+        vft = value_frequencies(df, [f.name for f in fields], digest_over=LONG_TEXT)
     else:
         vft = vft.filter(F.col("pos").isin([f.pos for f in fields]))
     sizes = vft.groupBy("pos").agg(
@@ -189,7 +193,7 @@ def top_values(
     # One row per table column.
     kept = vft.join(F.broadcast(sizes), "pos").withColumn("value", display_text())
     rank = Window.partitionBy("pos").orderBy(F.col("cnt").desc(), F.col("value"))
-    return (
+    shown = (
         kept.withColumn("position", F.row_number().over(rank))
         .filter(F.col("position") <= k)
         .select(
@@ -199,6 +203,7 @@ def top_values(
             "category_count",
         )
     )
+    return spelled_out(df, shown, "value") if alone else shown
 
 
 def column_catalog(df: DataFrame, table: str = "") -> DataFrame:
@@ -230,7 +235,7 @@ def identifier_signals(df: DataFrame, columns: Sequence[str] | None = None) -> D
     fields = fields_of(df, columns)
     catalog = name_signals(column_catalog(df)).filter(F.col("pos").isin([f.pos for f in fields]))
     nulls = null_counts(df, columns)
-    summary = distinct_summary(value_frequencies(df, columns, digest_over=256))
+    summary = distinct_summary(value_frequencies(df, columns, digest_over=LONG_TEXT))
     joined = catalog.join(nulls.drop("non_null_count"), "column_name").join(
         summary, "pos", "left"
     )

@@ -74,11 +74,39 @@ def _slots(field: Field, digest_over: int | None) -> tuple[Column, Column, Colum
     if digest_over is not None and isinstance(field.dtype, T.StringType):
         # Long texts travel as a prefix and a SHA-256 digest: still exact as an
         # identity, a hundred times smaller in the shuffle.
-        short = F.concat(F.left(text, F.lit(64)), F.lit("#"), F.sha2(text, 256))
-        text = F.when(F.length(text) > digest_over, short).otherwise(text)
+        text = F.when(F.length(text) > digest_over, digested(text)).otherwise(text)
     return no_long, no_double, text
 
 
+LONG_TEXT = 256
+_DIGESTED = r"(?s)^.{64}#[0-9a-f]{64}$"
+
+
+def digested(text: Column) -> Column:
+    return F.concat(F.left(text, F.lit(64)), F.lit("#"), F.sha2(text, 256))
+
+
+def spelled_out(df: DataFrame, frame: DataFrame, value: str, by: str = "column_name") -> DataFrame:
+    """`frame` with the texts behind the digests in its column `value`.
+
+    `frame` is report-sized: a few values per column of `df`. It is evaluated, and only if
+    it shows a digest is the table read once more for these texts.
+    """
+    frame = df.sparkSession.createDataFrame(frame.toArrow())
+    held = frame.filter(F.col(value).rlike(_DIGESTED)).select(by, value).distinct()
+    texts = [f for f in fields_of(df) if isinstance(f.dtype, T.StringType)]
+    if not texts or held.isEmpty():
+        return frame
+    args: list[Column] = []
+    for f in texts:
+        args += [F.lit(f.pos if by == "pos" else f.name), quoted(f.name)]
+    cells = df.select(F.stack(F.lit(len(texts)), *args).alias(by, "whole")).filter(F.length("whole") > LONG_TEXT)
+    found = cells.withColumn(value, digested(F.col("whole"))).join(F.broadcast(held), [by, value]).groupBy(by, value).agg(
+        F.any_value("whole").alias("whole"))
+    return frame.join(F.broadcast(found), [by, value], "left").withColumn(
+        value, F.coalesce("whole", value)).select(*frame.columns)
+
+
 def unpivot(
     df: DataFrame, fields: Sequence[Field], digest_over: int | None = None,
     keep: Sequence[Column] = (),

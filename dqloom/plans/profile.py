@@ -20,16 +20,17 @@ from dqloom.functions import names
 from dqloom.functions.missing import is_blank, is_empty, strip
 from dqloom.operators import counts, dates, numeric, tables, text
 from dqloom.operators.frequency import (
+    LONG_TEXT,
     Field,
     fields_of,
     number_value,
     numeric_values,
+    spelled_out,
     text_values,
     value_frequencies,
 )
 from dqloom.operators.ranks import exact_quantiles, quantile_columns
 
-LONG_TEXT = 256
 LEVEL = StorageLevel.MEMORY_AND_DISK
 
 
@@ -224,6 +225,9 @@ def column_profile(df: DataFrame, as_of: str | datetime.datetime) -> DataFrame:
                 wanted["distinct_" + name] = counts.distinct_summary(vft).drop("top_count")
                 wanted["top_" + name] = counts.top_values(df, members, vft=vft, k=counts.LISTED_VALUES)
         got = together(wanted)
+        if others:
+            got["distinct_o"] = spelled_out(df, got["distinct_o"], "representative_value", "pos")
+            got["top_o"] = spelled_out(df, got["top_o"], "value")
         scan = _merged([got[k] for k in got if k.startswith("scan_")])
         out = catalog.join(scan.select(
             "pos", "row_count", "non_null", "empty_string_count", "whitespace_only_count",

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dqloom.operators.rules import (
+    EXAMPLE_ROWS,
     Context,
     RuleError,
+    failure_examples,
     is_row_rule,
     parameters,
     row_rule,
@@ -130,6 +132,31 @@ def run_rules(
     )
 
 
+def rule_examples(
+    rules: Sequence[Mapping[str, Any]], ctx: Context, keys: Mapping[str, str],
+    limit: int = EXAMPLE_ROWS,
+) -> DataFrame | None:
+    """Up to `limit` failing rows per approved rule as (rule_id, place, example).
+
+    `keys` names a column per table whose order decides which rows are shown; tables it
+    leaves out show any.
+    """
+    out: DataFrame | None = None
+    for rule in rules:
+        if rule.get("status", "approved") != "approved" or ctx.tables.get(rule["table"]) is None:
+            continue
+        df = ctx.tables[rule["table"]]
+        key = keys.get(rule["table"])
+        shown = failure_examples(failing_rows(df, rule, ctx), limit, key)
+        # At most `limit` rows from here on.
+        place = F.row_number().over(Window.orderBy(F.col("key") if key else F.lit(0)))
+        part = shown.withColumn("key", shown["example"][key].cast(df.schema[key].dataType) if key else F.lit(0)).select(
+            F.lit(str(rule["rule_id"])).alias("rule_id"), place.alias("place"), "example"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def supported_templates() -> list[str]:
     from dqloom.operators.rules import ROW_TEMPLATES
     from dqloom.operators.setrules import SET_TEMPLATES
@@ -138,6 +165,6 @@ def supported_templates() -> list[str]:
 
 
 __all__ = [
-    "failing_rows", "rule_column", "rule_counts", "rule_frame", "run_rules",
+    "failing_rows", "rule_column", "rule_counts", "rule_examples", "rule_frame", "run_rules",
     "supported_templates", "template_of",
 ]

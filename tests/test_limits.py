@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dqloom.functions import dates
 from dqloom.functions.missing import canonical_key
-from dqloom.operators import meaning, rca, tables
+from dqloom.operators import counts, meaning, rca, tables
 from dqloom.operators.dates import monotonic
 from dqloom.operators.rules import Context
 from dqloom.plans import profile, quality
@@ -63,6 +63,16 @@ def test_listed_values_are_complete_or_absent(spark):
     assert sorted(got["few"]) == sorted(map(str, range(20))) and got["many"] is None
 
 
+def test_long_texts_are_told_whole(spark):
+    long = "x" * 300
+    df = spark.range(40).select(F.lit(long).alias("one"), F.when(F.col("id") % 2 == 0, long + "y").otherwise("short").alias("two"))
+    assert {r.column_name: r.representative_value for r in counts.constant_columns(df).collect()}["one"] == long
+    assert {r.value for r in counts.top_values(df, ["two"]).collect()} == {long + "y", "short"}
+    got = {r.column_name: r for r in profile.column_profile(df, "2024-06-01").collect()}
+    assert got["one"].representative_value == long
+    assert {v.value for v in got["two"].top_values} == {long + "y", "short"} and sorted(got["two"].category_values) == ["short", long + "y"]
+
+
 def test_long_ids_stay_exact(spark, tmp_path):
     path = tmp_path / "ids.csv"
     path.write_text("a,b,c\n1234567890123456789,12345678901234567890123,1\n1234567890123456788,2," + "9" * 45 + "\n")
