@@ -51,9 +51,16 @@ def comparable(field: Field) -> Column:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """B1: members of complete-duplicate groups, and the excess over one each."""
-    keys = [group_value(f).alias(f"k{f.pos}") for f in fields_of(df)]
-    groups = df.select(*keys).groupBy(*[f"k{f.pos}" for f in fields_of(df)]).count()
+    """B1: members of complete-duplicate groups, and the excess over one each.
+
+    Rows meet under 128 bits of hash instead of all their columns; a null is told from
+    the values beside it by its own flag.
+    """
+    parts: list[Column] = []
+    for f in fields_of(df):
+        parts += [group_value(f), group_value(f).isNull()]
+    keys = df.select(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("second"), *parts).alias("b"))
+    groups = keys.groupBy("a", "b").count()
     repeated = F.col("count") > 1
     return groups.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("row_count"),

@@ -272,7 +272,7 @@ def disguised_missing_tokens(values: DataFrame, row_count: DataFrame) -> DataFra
 
 
 def disguised_missing(
-    df: DataFrame, columns: Sequence[str] | None = None, repeated: bool = True
+    df: DataFrame, columns: Sequence[str] | None = None, repeated: bool = False
 ) -> DataFrame:
     """The five most frequent disguised-missing tokens per column."""
     values, fields = text_values(df, columns, repeated)
@@ -334,16 +334,16 @@ def case_variant_examples(df: DataFrame, columns: Sequence[str] | None = None) -
 
 
 def whitespace_padding(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Values with leading or trailing whitespace around real text."""
-    values, fields = text_values(df, columns)
+    """Values with leading or trailing whitespace around real text; no text is shuffled."""
+    values, fields = text_values(df, columns, repeated=False)
     v = F.col("value")
     padded = (v != strip(v)) & (strip(v) != F.lit(""))
     return _named(fields, values.groupBy("pos").agg(_weighted(padded).alias("padded_count")))
 
 
 def text_storage(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """C10 for text: every value looks like a number."""
-    values, fields = text_values(df, columns)
+    """C10 for text: every value looks like a number; no text is shuffled."""
+    values, fields = text_values(df, columns, repeated=False)
     numeric = _weighted(tx.pattern_flags(F.col("value"))["numeric_like"])
     counted = values.groupBy("pos").agg(numeric.alias("numeric_like"), F.sum("cnt").alias("n"))
     return _named(
