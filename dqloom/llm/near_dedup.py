@@ -15,7 +15,7 @@ made at first: members are compared with the key's smallest member. Components f
 documents are compared across components if exact bounds allow a link at all: sizes must
 be close; a shingle that no other candidate has can't be shared, which caps the
 intersection; and the rarest shingles of both sets, as many as a link may leave out and one
-more, must have one in common. Links are confirmed on full sets. So no link between
+more, must share enough. Links are confirmed on full sets. So no link between
 different components goes untested.
 
 Sets are compared by 64-bit hashes of shingles. Words are split at ASCII white space and
@@ -256,16 +256,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rarity = spelled.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
     length = F.expr(f"size(shingles) - (size(shingles) * {num} + {den - 1}) div {den} + 1").cast("int")
     prefixes = spelled.join(rarity, "s").groupBy("id", "lo").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("shingles")).select(
-        F.col("id").alias("rep"), F.transform(F.slice("shingles", F.lit(1), length), lambda x: x["s"]).alias("prefix"))
+        F.col("id").alias("rep"), F.size("shingles").alias("m"),
+        F.transform(F.slice("shingles", F.lit(1), length), lambda x: x["s"]).alias("prefix"))
     rest = stored(open_docs.join(prefixes, "rep").select("*", F.explode("prefix").alias("key")), "prefixes")
     rest = stored(rest.join(_largest(rest), "key"), "rest")
+    # Beyond what the prefixes share, sets share at most what the longer rest of them holds.
+    both = F.array_intersect("x.prefix", "y.prefix")
+    more = F.greatest(F.col("x.m") - F.size("x.prefix"), F.col("y.m") - F.size("y.prefix"))
+    enough = (F.size(both) + more) * (den + num) >= num * (F.col("x.m") + F.col("y.m"))
     # A pair is made under the first shingle its prefixes share, and only there.
     across = rest.filter("comp <> main").alias("x").join(rest.alias("y"), apart & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-        & (F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.key")))
+        & enough & (F.get(both, F.lit(0)) == F.col("x.key")))
     pairs = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    more = confirmed(pairs)
+    late = confirmed(pairs)
     known = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = stored(connected_components(known.unionByName(more)), "components")
+    final = stored(connected_components(known.unionByName(late)), "components")
 
     by_class = classes.select("n", "lo", "hi", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left") \
         .select("n", "lo", "hi", F.coalesce("component", "rep").alias("component"))
