@@ -160,10 +160,15 @@ def train(samples: list[bytes]):
 
 
 def sample_texts(df: DataFrame, id_col: str, text_col: str) -> list[bytes]:
-    """Texts of the documents with the smallest hashes among those of moderate length."""
+    """Texts of the documents with the smallest hashes among those of moderate length.
+
+    Only hashes below a share of the whole are looked at, so that what the tasks send to
+    the driver stays at a few times `SAMPLE_DOCS` texts however many tasks there are.
+    """
     text = F.col(text_col).cast("binary")
+    share = min(1.0, 8 * SAMPLE_DOCS / max(1, df.count()))
     chosen = df.filter(F.octet_length(text) <= SAMPLE_BYTES).select(unit_interval(F.col(id_col).cast("string")).alias("u"), text.alias("t"))
-    return [bytes(r.t) for r in chosen.orderBy("u", "t").limit(SAMPLE_DOCS).collect()]
+    return [bytes(r.t) for r in chosen.filter(F.col("u") <= share).orderBy("u", "t").limit(SAMPLE_DOCS).collect()]
 
 
 def write(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
