@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(app: str = "dqloom", cpus: str | int | None = None) -> SparkSession:
@@ -27,23 +26,6 @@ def local_session(app: str = "dqloom", cpus: str | int | None = None) -> SparkSe
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder so that lost executors
-    never force the work behind it to run again.
-
-    The folder is the one the cluster names in `spark.checkpoint.dir`; only where
-    that is unset (local tests) is a temporary one taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="dqloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     """How many pieces a full shuffle is cut into on this cluster."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
