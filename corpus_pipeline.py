@@ -24,8 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand on ten sources or more."""
-    cleaned = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    """Texts without lines that stand on ten sources or more, in ten different texts or
+    more: copies of one text stay whole, the near-dedup stage keeps one of them."""
+    cleaned = line_dedup.dedup_lines(docs.select(*COLUMNS), distinct_texts=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

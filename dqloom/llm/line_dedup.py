@@ -11,6 +11,10 @@ Lines are compared without leading and trailing white space, by 64-bit hashes. U
 `BROADCAST_HASHES` boilerplate hashes (16 MB) are broadcast to rewrite the texts where
 they lie; beyond that documents meet their boilerplate hashes by a join.
 
+Copies of one text over many sites make its lines look like boilerplate and are emptied
+alike. With `distinct_texts` a line must also stand in `min_sites` different texts, so
+exact copies stay whole for a near-dedup to choose from; near copies are different texts.
+
 Defined cases: blank lines never count and are never removed; null and empty texts stay as
 they are; a null site is a site of its own; a document of boilerplate alone keeps an empty
 text; repeated rows are cleaned each; columns named like results are replaced; other
@@ -47,8 +51,10 @@ def line_sites(df: DataFrame, text_col: str, site_col: str) -> DataFrame:
     return df.select(source_key(F.col(site_col)).alias("site"), F.explode(F.array_distinct(hashes)).alias("h"))
 
 
-def boilerplate(df: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """The hashes (h) of lines that occur on `min_sites` sites or more."""
+def boilerplate(df: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source",
+                distinct_texts: bool = False) -> DataFrame:
+    """The hashes (h) of lines that occur on `min_sites` sites or more, with `distinct_texts`
+    also in as many different texts."""
     sites = line_sites(df, text_col, site_col)
     error = 1.04 / 2 ** (LG_K / 2)
     band = max(1.0, MARGIN * error * min_sites)
@@ -59,7 +65,14 @@ def boilerplate(df: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text
     if near.count() <= BROADCAST_HASHES:
         near = F.broadcast(near)
     exact = sites.join(near, "h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites)
-    return stored(spread.filter(F.col("sites") > min_sites + band).select("h").unionByName(exact.select("h")), "boilerplate")
+    found = stored(spread.filter(F.col("sites") > min_sites + band).select("h").unionByName(exact.select("h")), "boilerplate")
+    if not distinct_texts:
+        return found
+    held = df.select(F.xxhash64(F.col(text_col)).alias("t"), F.explode(F.array_distinct(
+        F.transform(_lines(F.col(text_col)), lambda x: F.xxhash64(x)))).alias("h"))
+    wanted = F.broadcast(found) if found.count() <= BROADCAST_HASHES else found
+    texts = held.join(wanted, "h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("texts"))
+    return stored(texts.filter(F.col("texts") >= min_sites).select("h"), "boilerplate")
 
 
 def remove_lines(df: DataFrame, hashes: DataFrame, text_col: str = "text") -> DataFrame:
@@ -124,8 +137,9 @@ def _remove_in_place(df: DataFrame, hashes: list[int], text_col: str) -> DataFra
     return df.mapInArrow(cleaned, schema)
 
 
-def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source") -> DataFrame:
-    return remove_lines(df, boilerplate(df, min_sites, text_col, site_col), text_col)
+def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source",
+                distinct_texts: bool = False) -> DataFrame:
+    return remove_lines(df, boilerplate(df, min_sites, text_col, site_col, distinct_texts), text_col)
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:

@@ -174,6 +174,18 @@ def test_line_dedup(spark, monkeypatch, bound):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_one_filled_copy_leaves_near_dedup(spark, sf, monkeypatch, bound):
+    monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", bound)
+    copied = "\n".join(" ".join(f"c{i}x{j}" for j in range(20)) for i in range(6))
+    rows = [(i, copied, "en", f"s{i}", len(copied)) for i in range(12)]
+    own = [" ".join(f"o{i}y{j}" for j in range(40)) for i in range(12)]
+    rows += [(100 + i, f"{t}\nshared footer", "en", f"s{i}", 0) for i, t in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near(spark, corpus_pipeline.lines(spark, docs, sf), sf).collect()}
+    assert kept == {0: copied} | {100 + i: t for i, t in enumerate(own)}
+
+
 def test_embeddings_equal_brute_force(spark):
     random = np.random.default_rng(5)
     centres = random.standard_normal((40, 24))
