@@ -2,8 +2,10 @@
 
 Equal vectors are one class. Classes are dealt to shards by hash; each shard builds its
 graph in one task and audits it: vectors at the threshold's distance from a sample of its
-own are searched for, and the beam doubles until `AUDIT_RECALL` of the links that brute
-force finds are found. The graphs are stored as a table of nodes. Every class then queries
+own are searched for, and the beam doubles until the recall against brute force, a mean
+over queries, is `AUDIT_RECALL`. Queries with fewer links than the first beam and queries
+with more are audited apart, so a large group does not hide what small ones lose; where
+few of the sample have few links, more are drawn. The graphs are stored as a table of nodes. Every class then queries
 every shard, in blocks; where all of a beam is linked the beam widens, up to a quarter of
 the shard, beyond which the shard is compared in full. So neither large groups nor bad
 graphs lose links. Found links are verified by cosine in double precision.
@@ -41,6 +43,7 @@ SHARD_ROWS = 65_536
 BLOCK_ROWS = 16_384
 FIRST_BEAM = 16
 AUDITED = 64
+AUDIT_DRAWS = 16
 AUDIT_RECALL = 0.99
 NODES = "dim int, shard int, node int, level int, beam int, key binary, rep long, m long, unit binary, links array<binary>"
 FOUND = "key binary, n long, a long, b long"
@@ -95,19 +98,42 @@ def links_of(graph: Graph, exact: np.ndarray, queries: np.ndarray, beam: int, th
         waiting, width = (np.zeros(0, int) if full else np.concatenate(saturated)), width * 4
 
 
-def audited_beam(graph: Graph, exact: np.ndarray, threshold: float) -> int:
-    """The narrowest beam that passes, from `FIRST_BEAM` on."""
+def _audit_queries(exact: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Queries near vectors of the shard and their numbers of links: a spread sample, and
+    others until `AUDITED` of them have fewer links than `FIRST_BEAM`."""
     random = np.random.default_rng(7)
-    own = exact[np.linspace(0, len(exact) - 1, min(AUDITED, len(exact))).astype(int)]
-    aside = random.standard_normal(own.shape)
-    aside -= (aside * own).sum(1)[:, None] * own
-    norm = np.linalg.norm(aside, axis=1)[:, None]
     near = min(1.0, threshold + 0.005)
-    queries = near * own + math.sqrt(1 - near * near) * aside / np.where(norm > 0, norm, 1)
-    truth = int((queries @ exact.T >= threshold).sum())
+    spread = np.linspace(0, len(exact) - 1, min(AUDITED, len(exact))).astype(int)
+    rest = np.setdiff1d(random.permutation(len(exact))[:AUDITED * AUDIT_DRAWS], spread)
+    random.shuffle(rest)
+    queries, truth, few = [], [], 0
+    for start in range(-AUDITED, len(rest), AUDITED):
+        own = exact[spread if start < 0 else rest[start:start + AUDITED]]
+        aside = random.standard_normal(own.shape)
+        aside -= (aside * own).sum(1)[:, None] * own
+        norm = np.linalg.norm(aside, axis=1)[:, None]
+        some = near * own + math.sqrt(1 - near * near) * aside / np.where(norm > 0, norm, 1)
+        count = (some @ exact.T >= threshold).sum(1)
+        small = (count > 0) & (count < FIRST_BEAM)
+        taken = (count > 0) if start < 0 else small & (np.cumsum(small) <= AUDITED - few)
+        few += int((small & taken).sum())
+        queries.append(some[taken])
+        truth.append(count[taken])
+        if few >= AUDITED:
+            break
+    return np.concatenate(queries), np.concatenate(truth)
+
+
+def audited_beam(graph: Graph, exact: np.ndarray, threshold: float) -> int:
+    """The narrowest beam that passes, from `FIRST_BEAM` on."""
+    queries, truth = _audit_queries(exact, threshold)
+    kinds = [kind for kind in (truth < FIRST_BEAM, truth >= FIRST_BEAM) if kind.any()]
     beam = FIRST_BEAM
     while beam * 4 < len(exact):
-        if sum(len(q) for q, _ in links_of(graph, exact, queries, beam, threshold)) >= AUDIT_RECALL * truth:
+        found = np.zeros(len(queries))
+        for q, _ in links_of(graph, exact, queries, beam, threshold):
+            np.add.at(found, q, 1)
+        if all((found[kind] / truth[kind]).mean() >= AUDIT_RECALL for kind in kinds):
             break
         beam *= 2
     return beam

@@ -211,6 +211,31 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+class LosesSmallGroups:
+    """A graph whose narrow beams only reach the large group (nodes below `large`)."""
+
+    def __init__(self, vectors, large, needed):
+        self.vectors, self.large, self.needed = vectors.astype(np.float32), large, needed
+
+    def search(self, queries, beam, layer=0):
+        sims = queries @ self.vectors.T
+        if beam < self.needed:
+            sims[:, self.large:] = -1
+        ids = np.argsort(-sims, axis=1)[:, :beam].astype(np.int32)
+        return ids, np.take_along_axis(sims, ids, 1)
+
+
+@pytest.mark.parametrize("large", [700, 1980])
+def test_audit_notices_small_groups_beside_a_large_one(large):
+    random = np.random.default_rng(11)
+    centre = random.standard_normal(32)
+    vectors = random.standard_normal((2000, 32))
+    vectors[:large] = centre + 0.02 * vectors[:large]
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    assert embedding_dedup.audited_beam(LosesSmallGroups(vectors, large, 0), vectors, 0.9) == embedding_dedup.FIRST_BEAM
+    assert embedding_dedup.audited_beam(LosesSmallGroups(vectors, large, 64), vectors, 0.9) == 64
+
+
 def test_graph_finds_what_it_holds():
     random = np.random.default_rng(2)
     vectors = random.standard_normal((3000, 32)).astype(np.float32)
