@@ -103,3 +103,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = up.groupBy("u").agg(F.min("v").alias("m"))
         down = up.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+
+
+#: One row per key may be broadcast up to this many keys and bytes of keys.
+BROADCAST_KEYS = 1_000_000
+BROADCAST_KEY_BYTES = 64 << 20
+
+
+def met_by_key(rows: DataFrame, by_key: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """`rows` plus the columns of `by_key`, one row per value of `key`, nulls too.
+
+    Up to `BROADCAST_KEYS` keys are broadcast; more are repeated `salts` times, so that a
+    key with a third of all rows is met in that many pieces.
+    """
+    by_key = stored(by_key, "keys")
+    held = by_key.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)).alias("bytes")).first()
+    other = by_key.withColumnRenamed(key, "__key")
+    if held.n <= BROADCAST_KEYS and held.bytes <= BROADCAST_KEY_BYTES:
+        return rows.join(F.broadcast(other), rows[key].eqNullSafe(other["__key"]), "left").drop("__key")
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
+    other = other.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(other, salted[key].eqNullSafe(other["__key"]) & (F.col("__salt") == F.col("__other")), "left") \
+        .drop("__key", "__salt", "__other")

@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, line_dedup, mixing, near_dedup, quality_rules, secret_scan, sharding, token_store, url_filter
+from . import (
+    bpe,
+    embedding_dedup,
+    hard_negatives,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    sharding,
+    token_store,
+    url_filter,
+    vector_codes,
+)
 
 
 def queries() -> dict:
@@ -17,6 +31,9 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_query,
         "op9_line_dedup": line_dedup.op9_query,
         "op10_embedding_near_dedup": embedding_dedup.op10_query,
+        "op11_vector_codes": vector_codes.op11_query,
+        "op12_hard_negatives": hard_negatives.op12_query,
+        "op13_quality_classifier": quality_model.op13_query,
     }
 
 
@@ -28,4 +45,6 @@ def oracles() -> dict[str, str]:
         "op6_url_filters": url_filter.op6_sql(),
         "op8_mixing": mixing.op8_sql(),
         "op9_line_dedup": line_dedup.op9_sql(),
+        "op11_vector_codes": vector_codes.op11_sql(),
+        "op12_hard_negatives": hard_negatives.op12_sql(),
     }
