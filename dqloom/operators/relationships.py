@@ -7,10 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dqloom.functions.missing import canonical_key, quoted
-from dqloom.functions.similarity import text_similarity
+from dqloom.functions.similarity import split_name, text_similarity
 from dqloom.operators.counts import column_catalog, distinct_summary, name_signals, percent
 from dqloom.operators.frequency import fields_of, numeric_values, value_frequencies
+from dqloom.operators.inclusion import Keys, number_ranges, shared_counts, value_bitmaps
 from dqloom.operators.numeric import moments, sequence_summary
 
 # Evidence weights and gates.
@@ -30,7 +30,6 @@ TOP_PER_CHILD = 3
 DENSE_MAX = 100_000
 DENSE_SHARE = 0.95
 DECIDED = ("approved", "rejected", "missed", "manual", "edited")
-LONG_KEY = 128
 
 
 def key_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -122,55 +121,47 @@ def composite_pk_candidates(composites: DataFrame, columns: DataFrame) -> DataFr
     )
 
 
-def key_values(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(table_name, column_name, key): distinct canonical key values of every column.
+def key_values(tables: Mapping[str, DataFrame]) -> Keys:
+    """Distinct canonical key values of all columns, each with the columns that hold it."""
+    return value_bitmaps(tables)
+
+
+def shared_values(keys: Keys, parents: Sequence[int] | None = None, min_shared: int = 1) -> DataFrame:
+    """(child_table, child_column, parent_table, parent_column, contained_distinct,
+    child_distinct) of columns of different tables that share values; and with null parents
+    the distinct values of every column."""
+    found = shared_counts(keys, parents, min_shared)
+    catalog = keys.catalog
+    named = found.join(_place(catalog, "child"), found.child == F.col("child_place")).join(
+        _place(catalog, "parent"), found.parent == F.col("parent_place"), "left")
+    apart = F.col("parent_table").isNull() | (F.col("child_table") != F.col("parent_table"))
+    return named.filter(apart).select(
+        "child_table", "child_column", "parent_table", "parent_column", F.col("shared").alias("contained_distinct"))
 
-    Long keys are compared by digest, so whole texts never travel.
-    """
-    out: DataFrame | None = None
-    for name, df in tables.items():
-        args: list[Column] = []
-        for f in fields_of(df):
-            key = canonical_key(quoted(f.name), f.dtype)
-            key = F.when(F.length(key) > LONG_KEY, F.sha2(key, 256)).otherwise(key)
-            args += [F.lit(f.name), key]
-        part = df.select(
-            F.lit(name).alias("table_name"),
-            F.stack(F.lit(len(df.columns)), *args).alias("column_name", "key"),
-        ).filter(F.col("key").isNotNull())
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
 
+def _place(catalog: DataFrame, role: str) -> DataFrame:
+    return catalog.select(F.col("place").alias(f"{role}_place"), F.col("table_name").alias(f"{role}_table"),
+                          F.col("column_name").alias(f"{role}_column"))
 
-def containment(keys: DataFrame) -> DataFrame:
+
+def containment(keys: Keys, parents: Sequence[int] | None = None, min_shared: int = 1) -> DataFrame:
     """K5: shared distinct values of every two columns of different tables.
 
-    Values are first folded to the set of columns that hold them; equal sets are
-    then counted, and only those few sets are spread to column pairs. No value is
-    ever paired with another.
+    `parents` restricts one side to the numbers of likely keys in `keys.places`.
     """
-    place = F.struct("table_name", "column_name")
-    sets = keys.groupBy("key").agg(F.array_sort(F.collect_set(place)).alias("places"))
-    patterns = sets.groupBy("places").agg(F.count(F.lit(1)).alias("n"))
-    sizes = patterns.select(F.explode("places").alias("p"), "n").groupBy("p").agg(
-        F.sum("n").alias("distinct")
-    )
-    shared = (
-        patterns.filter(F.size("places") > 1)
-        .select(F.explode("places").alias("child"), "places", "n")
-        .select("child", F.explode("places").alias("parent"), "n")
-        .filter(F.col("child.table_name") != F.col("parent.table_name"))
-        .groupBy("child", "parent").agg(F.sum("n").alias("contained_distinct"))
-    )
-    child = sizes.select(F.col("p").alias("child"), F.col("distinct").alias("child_distinct"))
-    parent = sizes.select(F.col("p").alias("parent"), F.col("distinct").alias("parent_distinct"))
-    out = shared.join(F.broadcast(child), "child").join(F.broadcast(parent), "parent")
+    from dqloom.plans.profile import small
+
+    # One row per pair that shares values: evaluated once, used three times.
+    found = small(shared_values(keys, parents, min_shared))
+    sizes = found.filter("parent_table IS NULL")
+    child = sizes.select("child_table", "child_column", F.col("contained_distinct").alias("child_distinct"))
+    parent = sizes.select(F.col("child_table").alias("parent_table"), F.col("child_column").alias("parent_column"),
+                          F.col("contained_distinct").alias("parent_distinct"))
+    out = found.filter("parent_table IS NOT NULL").join(child, ["child_table", "child_column"]).join(
+        parent, ["parent_table", "parent_column"])
     n, c, p = F.col("contained_distinct"), F.col("child_distinct"), F.col("parent_distinct")
     return out.select(
-        F.col("parent.table_name").alias("parent_table"),
-        F.col("parent.column_name").alias("parent_column"),
-        F.col("child.table_name").alias("child_table"),
-        F.col("child.column_name").alias("child_column"),
+        "parent_table", "parent_column", "child_table", "child_column",
         "child_distinct", "parent_distinct", "contained_distinct",
         F.round(n / c, 4).alias("containment"),
         F.round(n / F.least(c, p), 4).alias("overlap"),
@@ -179,17 +170,18 @@ def containment(keys: DataFrame) -> DataFrame:
     )
 
 
-def dense_integers(keys: DataFrame) -> DataFrame:
-    """K6: columns whose keys are numbers that fill their range from 0 to 100,000."""
-    number = F.col("key").try_cast("double")
-    lo, hi, n = F.min(number), F.max(number), F.count(F.lit(1))
+def dense_integers(keys: Keys, sizes: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """K6: columns whose keys are numbers that fill their range from 0 to 100,000.
+
+    `sizes` has the distinct keys per column (table_name, column_name, distinct).
+    """
+    ranges = number_ranges(keys) if ranges is None else ranges
+    ranges = ranges.join(keys.catalog, "place").join(sizes, ["table_name", "column_name"])
     dense = (
-        (F.count(number) == n) & (lo >= 0) & (hi <= DENSE_MAX)
-        & (n / (hi - lo + 1) >= DENSE_SHARE)
-    )
-    return keys.groupBy("table_name", "column_name").agg(
-        n.alias("distinct"), F.coalesce(dense, F.lit(False)).alias("dense")
+        F.col("numeric") & (F.col("lo") >= 0) & (F.col("hi") <= DENSE_MAX)
+        & (F.col("distinct") / (F.col("hi") - F.col("lo") + 1) >= DENSE_SHARE)
     )
+    return ranges.select("table_name", "column_name", "distinct", F.coalesce(dense, F.lit(False)).alias("dense"))
 
 
 def type_family(stored_as: Column) -> Column:
@@ -204,33 +196,33 @@ def _side(frame: DataFrame, role: str, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def column_pairs(profile: DataFrame) -> DataFrame:
-    """K8: (child, parent) column pairs worth scoring.
+def likely_keys(profile: DataFrame) -> DataFrame:
+    """The columns that may be a parent: scored well as a key, or all of them where no
+    column is."""
+    scored = pk_evidence(profile)
+    everyone = Window.partitionBy()
+    any_key = F.max(F.col("pk_score") >= PK_MIN_SCORE).over(everyone)
+    return scored.withColumn("any_key", any_key).filter(~F.col("any_key") | (F.col("pk_score") >= PK_MIN_SCORE)).drop("any_key")
+
+
+def column_pairs(profile: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """K8: (child, parent) column pairs worth scoring, with their names' similarity.
 
-    Parents are the likely keys of other tables. Both lists are column names; the
-    parents are spread from one aggregated row, so the pairs number columns times
-    likely keys and never involve data.
+    A pair can only become a candidate if it shares a value, or if the names are similar by
+    0.6, which takes a common word. So pairs come from `shared` (child_table, child_column,
+    parent_table, parent_column) and from a join of names' words; columns and keys are never
+    crossed. `profile` is key_profile(): rows per column.
     """
-    scored = pk_evidence(profile)
     facts = ["stored_as", "pk_score", "identifier_name_signal", "null_percentage"]
-    pool = scored.filter(F.col("pk_score") >= PK_MIN_SCORE)
-    # Without any likely key every column may be a parent.
-    parents = pool.agg(F.collect_list(F.struct("table_name", "column_name", *facts)).alias("keys"))
-    everyone = scored.agg(
-        F.collect_list(F.struct("table_name", "column_name", *facts)).alias("columns")
-    )
-    spread = parents.join(F.broadcast(everyone)).select(
-        F.when(F.size("keys") > 0, F.col("keys")).otherwise(F.col("columns")).alias("parents")
-    )
-    pairs = _side(scored, "child", facts).join(F.broadcast(spread)).select(
-        "child_table", "child_column", *[f"child_{c}" for c in facts],
-        F.explode("parents").alias("p"),
-    ).filter(F.col("p.table_name") != F.col("child_table")).select(
-        "child_table", "child_column", *[f"child_{c}" for c in facts],
-        F.col("p.table_name").alias("parent_table"),
-        F.col("p.column_name").alias("parent_column"),
-        *[F.col(f"p.{c}").alias(f"parent_{c}") for c in facts],
-    )
+    children, parents = _side(pk_evidence(profile), "child", facts), _side(likely_keys(profile), "parent", facts)
+    link = ["child_table", "child_column", "parent_table", "parent_column"]
+    word = lambda side, role: side.select(
+        f"{role}_table", f"{role}_column", F.explode(F.array_distinct(split_name(F.col(f"{role}_column")))).alias("word"))
+    met = word(children, "child").join(word(parents, "parent"), "word").select(*link)
+    if shared is not None:
+        met = met.unionByName(shared.select(*link))
+    met = met.filter("child_table <> parent_table").distinct()
+    pairs = met.join(children, ["child_table", "child_column"]).join(parents, ["parent_table", "parent_column"])
     named = pairs.withColumn(
         "name_similarity", F.round(text_similarity(F.col("child_column"), F.col("parent_column")), 4)
     )
@@ -253,11 +245,11 @@ def score_pairs(
         meanings = spark.createDataFrame(
             [], "table_name string, column_name string, concept string"
         )
-    out = pairs.join(F.broadcast(shared.select(*link, "contained_distinct")), link, "left")
+    out = pairs.join(shared.select(*link, "contained_distinct"), link, "left")
     for role in ("child", "parent"):
         key = [f"{role}_table", f"{role}_column"]
-        out = out.join(F.broadcast(_side(sizes, role, ["distinct", "dense"])), key, "left")
-        out = out.join(F.broadcast(_side(meanings, role, ["concept"])), key, "left")
+        out = out.join(_side(sizes, role, ["distinct", "dense"]), key, "left")
+        out = out.join(_side(meanings, role, ["concept"]), key, "left")
     zero = F.lit(0).cast("long")
     n = F.coalesce("contained_distinct", zero)
     c, p = F.coalesce("child_distinct", zero), F.coalesce("parent_distinct", zero)
@@ -303,8 +295,8 @@ def score_pairs(
     )
 
 
-def fk_candidates(scored: DataFrame) -> DataFrame:
-    """K9: pairs that pass the gates, the best three per child column."""
+def fk_candidates(scored: DataFrame, top: int = TOP_PER_CHILD) -> DataFrame:
+    """K9: pairs that pass the gates, the best `top` per child column."""
     no_values = (F.col("value_containment") == 0) & (F.col("value_overlap") == 0)
     kept = scored.filter(
         (F.col("score") >= MIN_SCORE)
@@ -314,27 +306,30 @@ def fk_candidates(scored: DataFrame) -> DataFrame:
         F.col("score").desc(), "parent_table", "parent_column"
     )
     return kept.withColumn("position", F.row_number().over(rank)).filter(
-        F.col("position") <= TOP_PER_CHILD
+        F.col("position") <= top
     )
 
 
 def discover(
-    tables: Mapping[str, DataFrame], meanings: DataFrame | None = None
+    tables: Mapping[str, DataFrame], meanings: DataFrame | None = None, top: int = TOP_PER_CHILD
 ) -> DataFrame:
-    """K1-K10 end to end: foreign-key candidates across the given tables."""
-    from dqloom.plans.profile import together
-
-    keys = key_values(tables).persist()
-    try:
-        # Rows per column or per column pair.
-        got = together({
-            "profile": key_profile(tables), "shared": containment(keys),
-            "sizes": dense_integers(keys),
-        })
-    finally:
-        keys.unpersist()
-    scored = score_pairs(column_pairs(got["profile"]), got["shared"], got["sizes"], meanings)
-    return fk_candidates(scored)
+    """K1-K10 end to end: foreign-key candidates across the given tables.
+
+    Frames of rows per column, or per pair that shares values, are evaluated in between:
+    the profile says which columns are likely keys, and only those are counted as parents.
+    """
+    from dqloom.plans.profile import small, together
+
+    keys = key_values(tables)
+    profile = small(key_profile(tables))
+    likely = {(r.table_name, r.column_name) for r in likely_keys(profile).select("table_name", "column_name").collect()}
+    parents = [i for i, place in enumerate(keys.places) if place in likely]
+    found = together({"shared": shared_values(keys, parents), "ranges": number_ranges(keys)})
+    shared = found["shared"].filter("parent_table IS NOT NULL")
+    sizes = found["shared"].filter("parent_table IS NULL").select(
+        F.col("child_table").alias("table_name"), F.col("child_column").alias("column_name"), F.col("contained_distinct").alias("distinct"))
+    scored = score_pairs(column_pairs(profile, shared), shared, dense_integers(keys, sizes, found["ranges"]), meanings)
+    return fk_candidates(scored, top)
 
 
 def merge_decisions(fresh: DataFrame, decided: DataFrame) -> DataFrame:
