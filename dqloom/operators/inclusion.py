@@ -4,13 +4,15 @@ Every column of every table gets a number, its place. One shuffle folds the cell
 tables to (value, bitmap of places): each map task sends a value once with the bits of all
 columns where it met it. The bitmaps are packed into 64-bit words.
 
-Counting then needs no pairs of places. A value is repeated once per word and per *key*
-column that holds it, and one aggregation of 64 bit sums per (key column, word) counts how
-many distinct values each other column shares with it. The sums are combined inside the
-tasks, so a task sends at most 64 numbers per key column and word; single pairs are made
-from the finished sums, and only those that share enough values.
-
-Rows sent: distinct values of a map task once; then one row per task, key column and word.
+Equal bitmaps are counted in the tasks that made them. Counting then needs no pairs of
+places: a bitmap is repeated once per word and per *key* column in it, and one aggregation
+of 64 bit sums per (key column, word) says how many distinct values each other column
+shares with it. The sums are combined inside the tasks, so a task sends at most 64 numbers
+per key column and word; single pairs are made from the finished sums, and only those that
+share enough values.
+
+Rows sent: distinct values of a map task once; distinct bitmaps of a task once; then one row
+per task, key column and word.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ EVERY = -1
 
 @dataclass(frozen=True)
 class Keys:
-    """Bitmaps of places per distinct value, and what the places are."""
+    """Bitmaps of places with the number of distinct values that have them, and what the
+    places are."""
 
     places: list[tuple[str, str]]
     bitmaps: DataFrame
@@ -49,7 +52,9 @@ def key_columns(df: DataFrame) -> list[tuple[str, Column]]:
     out = []
     for f in fields_of(df):
         key = canonical_key(quoted(f.name), f.dtype)
-        out.append((f.name, F.when(F.length(key) > LONG_KEY, F.sha2(key, 256)).otherwise(key)))
+        if f.kind in ("string", "other"):
+            key = F.when(F.length(key) > LONG_KEY, F.sha2(key, 256)).otherwise(key)
+        out.append((f.name, key))
     return out
 
 
@@ -59,16 +64,16 @@ def value_bitmaps(tables: Mapping[str, DataFrame]) -> Keys:
     words = -(-len(places) // WORD)
     cells, at = None, 0
     for df in tables.values():
-        args: list[Column] = []
-        for i, (_, key) in enumerate(key_columns(df)):
-            args += [F.lit(at + i), key]
-        part = df.select(F.stack(F.lit(len(df.columns)), *args).alias("place", "key")).filter(F.col("key").isNotNull())
+        wide = df.select(*[key.alias(str(at + i)) for i, (_, key) in enumerate(key_columns(df))])
+        part = wide.unpivot([], wide.columns, "place", "key").filter(F.col("key").isNotNull())
         cells = part if cells is None else cells.unionByName(part)
         at += len(df.columns)
+    cells = cells.select(F.col("place").cast("int").alias("place"), "key")
     bits = [F.expr(f"CASE WHEN place DIV {WORD} = {w} THEN shiftleft(1L, CAST(place % {WORD} AS INT)) ELSE 0L END").alias(f"w{w}")
             for w in range(words)]
     folded = cells.select("key", *bits).groupBy("key").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)])
-    return Keys(places, folded.select("key", F.array(*[f"w{w}" for w in range(words)]).alias("words")), tables)
+    alike = folded.groupBy(*[f"w{w}" for w in range(words)]).agg(F.count(F.lit(1)).alias("values"))
+    return Keys(places, alike.select(F.array(*[f"w{w}" for w in range(words)]).alias("words"), "values"), tables)
 
 
 def masks(places: Sequence[int], words: int) -> list[int]:
@@ -91,25 +96,37 @@ def shared_counts(keys: Keys, parents: Sequence[int] | None = None, min_shared:
     holders = F.expr(f"""concat(array({EVERY}), flatten(transform(sequence(0, {words - 1}), w -> CASE
         WHEN words[w] & {wanted}[w] = 0L THEN array()
         ELSE transform(filter({every}, b -> getbit(words[w] & {wanted}[w], b) = 1), b -> w * {WORD} + b) END)))""")
-    spread = keys.bitmaps.select("words", F.explode(holders).alias("parent"))
-    spread = spread.select("parent", F.posexplode("words").alias("word", "bits")).filter("bits <> 0")
-    sums = spread.groupBy("parent", "word").agg(*[F.expr(f"sum(CAST(getbit(bits, {b}) AS LONG)) AS b{b}") for b in range(WORD)])
+    spread = keys.bitmaps.select("words", "values", F.explode(holders).alias("parent"))
+    spread = spread.select("parent", "values", F.posexplode("words").alias("word", "bits")).filter("bits <> 0")
+    sums = spread.groupBy("parent", "word").agg(*[F.expr(f"sum(getbit(bits, {b}) * values) AS b{b}") for b in range(WORD)])
     return sums.select("parent", "word", F.posexplode(F.array(*[f"b{b}" for b in range(WORD)])).alias("bit", "shared")).filter(
         F.col("shared") >= min_shared).select("parent", (F.col("word") * WORD + F.col("bit")).alias("child"), "shared").filter("parent <> child")
 
 
+def _number(column: Column, kind: str, key: Column) -> Column:
+    """The key as a number, without a detour over text where the column is one."""
+    if kind == "numeric":
+        return column.cast("double")
+    if kind == "boolean":
+        return column.cast("int").cast("double")
+    if kind == "datetime":
+        return F.lit(None).cast("double")
+    # A failed cast costs far more than a look at the text.
+    return F.when(key.rlike(r"^[-+]?\.?[0-9]"), key.try_cast("double"))
+
+
 def number_ranges(keys: Keys) -> DataFrame:
     """(place, lo, hi, numeric): the range of a place's keys, and whether all are numbers.
     One scan per table with one row of results."""
     out, at = None, 0
     for df in keys.tables.values():
         facts: list[Column] = []
-        for i, (_, key) in enumerate(key_columns(df)):
-            number = key.try_cast("double")
-            facts += [F.min(number).alias(f"lo{i}"), F.max(number).alias(f"hi{i}"),
-                      F.coalesce(F.bool_and(F.when(key.isNotNull(), number.isNotNull())), F.lit(False)).alias(f"ok{i}")]
+        for f, (_, key) in zip(fields_of(df), key_columns(df), strict=True):
+            number = _number(f.value, f.kind, key)
+            facts += [F.min(number).alias(f"lo{f.pos}"), F.max(number).alias(f"hi{f.pos}"),
+                      (F.count(number) == F.count(f.value)).alias(f"ok{f.pos}"), F.count(f.value).alias(f"n{f.pos}")]
         n = len(df.columns)
-        rows = ", ".join(f"{at + i}, lo{i}, hi{i}, ok{i}" for i in range(n))
+        rows = ", ".join(f"{at + i}, lo{i}, hi{i}, ok{i} AND n{i} > 0" for i in range(n))
         part = df.agg(*facts).selectExpr(f"stack({n}, {rows}) AS (place, lo, hi, numeric)")
         out = part if out is None else out.unionByName(part)
         at += n

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from dqloom.functions.similarity import split_name, text_similarity
 from dqloom.operators.counts import column_catalog, distinct_summary, name_signals, percent
-from dqloom.operators.frequency import fields_of, numeric_values, value_frequencies
+from dqloom.operators.frequency import numeric_values, value_frequencies
 from dqloom.operators.inclusion import Keys, number_ranges, shared_counts, value_bitmaps
-from dqloom.operators.numeric import moments, sequence_summary
+from dqloom.operators.numeric import sequence_summary
 
 # Evidence weights and gates.
 WEIGHTS = {
@@ -33,45 +33,47 @@ DECIDED = ("approved", "rejected", "missed", "manual", "edited")
 
 
 def key_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """What key discovery needs to know: one row per (table, column)."""
-    out: DataFrame | None = None
+    """What key discovery needs to know: one row per (table, column).
+
+    The tables' value frequencies are one frame, whose positions count on through all
+    tables; so the number of jobs does not grow with the number of tables.
+    """
+    catalog, sizes, values, at = None, None, None, 0
     for name, df in tables.items():
-        fields = fields_of(df)
-        vft = value_frequencies(df, digest_over=256)
-        rows = df.agg(F.count(F.lit(1)).alias("row_count"))
-        part = name_signals(column_catalog(df, name)).join(F.broadcast(rows)).join(
-            F.broadcast(distinct_summary(vft).select("pos", "non_null_count", "distinct_count")),
-            "pos", "left",
-        )
-        if any(f.kind == "numeric" for f in fields):
-            numbers = value_frequencies(df, kinds=["numeric"])
-            shape = moments(df, wanted=["integer_valued"]).drop("count").join(
-                F.broadcast(sequence_summary(numeric_values(numbers))), "pos"
-            ).select("pos", "integer_valued", "counter_like")
-            part = part.join(F.broadcast(shape), "pos", "left")
-        else:
-            part = part.withColumn("integer_valued", F.lit(None).cast("boolean")).withColumn(
-                "counter_like", F.lit(None).cast("boolean")
-            )
-        zero = F.lit(0).cast("long")
-        part = part.withColumns({
-            "non_null_count": F.coalesce("non_null_count", zero),
-            "distinct_count": F.coalesce("distinct_count", zero),
-        })
-        part = part.select(
-            "table_name", "pos", "column_name", "data_type", F.col("kind").alias("stored_as"),
-            "row_count", "non_null_count", "distinct_count",
-            percent(F.col("distinct_count"), F.col("non_null_count")).alias("distinct_percentage"),
-            percent(F.col("row_count") - F.col("non_null_count"), F.col("row_count")).alias(
-                "null_percentage"),
-            (F.col("strong_name") | F.col("weak_name")).alias("identifier_name_signal"),
-            (F.col("strong_name") & (F.col("non_null_count") > 0)
-             & (F.col("distinct_count") == F.col("non_null_count"))).alias("identifier_signal"),
-            F.coalesce(~F.col("integer_valued"), F.lit(False)).alias("float_measure"),
-            F.coalesce("counter_like", F.lit(False)).alias("counter_like"),
+        place = (F.col("pos") + F.lit(at)).cast("int")
+        parts = (
+            column_catalog(df, name).withColumn("place", place),
+            df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(name)),
+            value_frequencies(df, digest_over=256).withColumn("pos", place),
         )
-        out = part if out is None else out.unionByName(part)
-    return out
+        catalog, sizes, values = (
+            part if whole is None else whole.unionByName(part)
+            for whole, part in zip((catalog, sizes, values), parts, strict=True))
+        at += len(df.columns)
+    numbers = numeric_values(values).filter("v IS NOT NULL")
+    distinct = distinct_summary(values).select(F.col("pos").alias("place"), "non_null_count", "distinct_count")
+    whole = numbers.groupBy(F.col("pos").alias("place")).agg(F.bool_and(F.col("v") == F.rint("v")).alias("integer_valued"))
+    counters = sequence_summary(numbers).select(F.col("pos").alias("place"), "counter_like")
+    part = name_signals(catalog).join(sizes, "table_name")
+    for frame in (distinct, whole, counters):
+        part = part.join(frame, "place", "left")
+    zero = F.lit(0).cast("long")
+    part = part.withColumns({
+        "non_null_count": F.coalesce("non_null_count", zero),
+        "distinct_count": F.coalesce("distinct_count", zero),
+    })
+    return part.select(
+        "table_name", "pos", "column_name", "data_type", F.col("kind").alias("stored_as"),
+        "row_count", "non_null_count", "distinct_count",
+        percent(F.col("distinct_count"), F.col("non_null_count")).alias("distinct_percentage"),
+        percent(F.col("row_count") - F.col("non_null_count"), F.col("row_count")).alias(
+            "null_percentage"),
+        (F.col("strong_name") | F.col("weak_name")).alias("identifier_name_signal"),
+        (F.col("strong_name") & (F.col("non_null_count") > 0)
+         & (F.col("distinct_count") == F.col("non_null_count"))).alias("identifier_signal"),
+        F.coalesce((F.col("kind") == "numeric") & ~F.col("integer_valued"), F.lit(False)).alias("float_measure"),
+        F.coalesce((F.col("kind") == "numeric") & F.col("counter_like"), F.lit(False)).alias("counter_like"),
+    )
 
 
 def pk_score() -> Column:
