@@ -4,10 +4,12 @@ Strong candidates (long assigned secrets, access identifiers, long hexadecimal r
 reported as they stand. Weak candidates (short or oddly named secrets, user and client
 identifiers, mixed random-looking runs, service endpoints) are reported only where a
 complementary part lies near: a secret needs an identifier or an endpoint, an identifier
-or endpoint needs a secret. Near means that the parts start within `reach` code points of
-each other in one scope, a stretch of text without a blank line. This is an interval join;
-as only "is there one" matters, a range frame over the ordered parts answers it without
-making pairs, and a frame holds at most `reach` divided by the shortest part.
+or endpoint needs a secret. Near means that at most `reach` code points lie between the end
+of one part and the start of the other, in one scope, a stretch of text without a blank
+line; parts that overlap are near. This is an interval join; as only "is there one" matters,
+the first start after a part and the furthest end before it answer it without making pairs.
+Weak parts that a base span overlaps are partners like any others, but the base span stands
+for them in the report.
 
 Only DataFrame functions are used. Positions come from the lengths of the matches and of
 the gaps between them. Texts never leave their row; only parts are shuffled, by row.
@@ -62,7 +64,7 @@ KINDS = (
     Kind("weak_secret", "secret", False, named(
         "passphrase", "password", "passwd", "pass", "pwd", "credentials?", "private_?key", "secret_?key", "secret",
         "auth_?token", "token", "api_?key", value="[A-Za-z0-9+/_.=!@-]+"), 4, group=2),
-    Kind("weak_run", "secret", False, "[A-Za-z0-9+/]{24,}", 24, 128, holds=("[a-z]", "[A-Z]", "[0-9]")),
+    Kind("weak_run", "secret", False, "[A-Za-z0-9+/]{24,}", 24, holds=("[a-z]", "[A-Z]", "[0-9]")),
     Kind("weak_id", "identifier", False, named(
         "user_?name", "user_?id", "user", "login", "account_?id", "account", "client_?id", "access_?key_?id", "access_?key",
         value="[A-Za-z0-9@+_.-]+"), 3, group=2),
@@ -121,11 +123,16 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     covered = F.coalesce((F.max(F.when(is_base, F.col("end"))).over(backward) > start)
                          | (F.min(F.when(is_base, start)).over(forward) < F.col("end")), F.lit(False))
     scoped = usable.withColumn("scope", F.count(F.when(kind == real, 1)).over(backward)) \
-        .withColumn("covered", covered & ~is_base).filter(kind.isNull() | ((kind < real) & ~F.col("covered")))
-    near = W.partitionBy("row", "scope").orderBy("start").rangeBetween(-reach, reach)
-    has = {role: F.max(F.when(cond, F.col("kind"))).over(near).isNotNull() for role, cond in roles.items()}
-    linked = F.when(roles["secret"], has["identifier"] | has["endpoint"]).otherwise(has["secret"])
-    told = scoped.withColumn("linked", linked).filter(kind.isNull() | is_base | F.col("linked"))
+        .withColumn("covered", covered & ~is_base).filter(kind.isNull() | (kind < real))
+    part = W.partitionBy("row", "scope").orderBy("start")
+    earlier, later = part.rangeBetween(W.unboundedPreceding, 0), part.rangeBetween(0, W.unboundedFollowing)
+
+    def near(role: Column) -> Column:
+        return F.coalesce((F.max(F.when(role, F.col("end"))).over(earlier) + reach >= start)
+                          | (F.min(F.when(role, start)).over(later) <= F.col("end") + reach), F.lit(False))
+
+    linked = F.when(roles["secret"], near(roles["identifier"] | roles["endpoint"])).otherwise(near(roles["secret"]))
+    told = scoped.withColumn("linked", linked).filter(kind.isNull() | is_base | (F.col("linked") & ~F.col("covered")))
     return told.select("row", "id", "kind", "start", "end", is_base.alias("base"))
 
 
@@ -163,7 +170,6 @@ WHERE length(v) BETWEEN {kind.shortest} AND {kind.longest}{holds}"""
     base = sum(k.base for k in KINDS)
     named_kinds = "[" + ", ".join(f"'{k.name}'" for k in KINDS) + "]"
     role = {r: "kind IN (" + ", ".join(str(n) for n, k in enumerate(KINDS) if k.role == r) + ")" for r in ("secret", "identifier", "endpoint")}
-    near = f"OVER (PARTITION BY rid, scope ORDER BY start RANGE BETWEEN {REACH} PRECEDING AND {REACH} FOLLOWING)"
     up, down = "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
     every = "\nUNION ALL".join(hits(n, k) for n, k in enumerate([*KINDS, SCOPE_BREAK]))
     return f"""
@@ -172,10 +178,11 @@ p AS ({every}),
 c AS (SELECT *, count(CASE WHEN kind = {len(KINDS)} THEN 1 END) OVER (PARTITION BY rid ORDER BY start {up}) AS scope,
       coalesce(max(CASE WHEN kind < {base} THEN stop END) OVER (PARTITION BY rid ORDER BY start {up}) > start, false)
       OR coalesce(min(CASE WHEN kind < {base} THEN start END) OVER (PARTITION BY rid ORDER BY start {down}) < stop, false) AS hit FROM p),
-o AS (SELECT * FROM c WHERE kind < {base} OR (kind < {len(KINDS)} AND NOT hit)),
-n AS (SELECT *, bool_or({role['secret']}) {near} AS s, bool_or({role['identifier']}) {near} AS i, bool_or({role['endpoint']}) {near} AS e FROM o),
-k AS (SELECT *, {named_kinds}[kind + 1] || ':' || start || ':' || stop AS said FROM n
-      WHERE kind < {base} OR CASE WHEN {role['secret']} THEN i OR e ELSE s END),
+r AS (SELECT *, {role['secret']} AS secret FROM c WHERE kind < {len(KINDS)}),
+m AS (SELECT DISTINCT w.rid, w.kind, w.start FROM r AS w JOIN r AS o ON w.rid = o.rid AND w.scope = o.scope AND w.secret <> o.secret
+      AND o.start - w.stop <= {REACH} AND w.start - o.stop <= {REACH} WHERE w.kind >= {base} AND NOT w.hit),
+k AS (SELECT rid, kind, start, {named_kinds}[kind + 1] || ':' || start || ':' || stop AS said FROM r LEFT JOIN m USING (rid, kind, start)
+      WHERE kind < {base} OR m.rid IS NOT NULL),
 g AS (SELECT rid, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
       count(*) FILTER (kind >= {base}) AS l, string_agg(said, ',' ORDER BY start, kind) AS spans,
       string_agg(said, ',' ORDER BY start, kind) FILTER (kind < {base}) AS based FROM k GROUP BY rid)
