@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_KEY_BYTES, ids_of, sliced, tokenizer_text
+from .bpe import MEMO_KEY_BYTES, sliced, tokenizer_text
 from .common import fresh_path, ship, stored, unit_interval
 
 END_ID = 0
@@ -55,6 +55,8 @@ LEVEL = 3
 STRETCH = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: ASCII and Latin-1 letters, in UTF-8, after at most one space: one word to the tokenizer.
 LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Such a word and ASCII punctuation after it: two words to the tokenizer.
+MARKED = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)")
 #: White space beyond ASCII, next to which a text must not be cut, in UTF-8.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -82,6 +84,9 @@ class Encoder:
         if splitter.get("type") == "ByteLevel" and splitter["use_regex"] and not splitter["add_prefix_space"]:
             self.words = Tokenizer(self.library.model)
             self.words.pre_tokenizer = WhitespaceSplit()
+            self.between = "!"
+            if len(self.words.encode(self.between).ids) != 1:
+                self.words = None
         self.memo: dict[bytes, bytes | None] = {}
         self.old: dict[bytes, bytes | None] = {}
 
@@ -97,17 +102,39 @@ class Encoder:
         raw, width = ids.tobytes(), ids.itemsize
         return [raw[a * width:b * width] for a, b in zip([0, *[e + 1 for e in ends]], ends, strict=False)]
 
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of letters, encoded in one call with a word between them that
+        is one token and can't be part of theirs."""
+        if not words:
+            return []
+        joined = f" {self.between} ".join([w.decode("latin-1").translate(self.alphabet) for w in words])
+        ids = np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.code)
+        ends = np.append(np.flatnonzero(ids == self.words.token_to_id(self.between)), len(ids)) * ids.itemsize
+        raw, width = ids.tobytes(), ids.itemsize
+        ends = ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *[e + width for e in ends]], ends, strict=False)]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.memo) > MEMO_ENTRIES:
             self.old, self.memo = self.memo, {}
-        memo, old, split = self.memo, self.old, [STRETCH.findall(t) for t in texts]
-        new = set().union(*split).difference(memo)
-        again = {s: old[s] for s in new if s in old}
-        memo |= again
-        new = list(new.difference(again))
-        letters = [s for s in new if LETTERS.fullmatch(s)] if self.words else []
-        found = dict(zip(letters, ids_of(self.words, [s.decode("latin-1").translate(self.alphabet) for s in letters], self.code), strict=True))
-        other = [s for s in new if s not in found] if letters else new
+        memo, split = self.memo, [STRETCH.findall(t) for t in texts]
+        new = self._recalled(set().union(*split))
+        two, letters, other = [], [], []
+        if self.words:
+            # A word with punctuation is put together from its two pieces.
+            for s in new:
+                if LETTERS.fullmatch(s):
+                    letters.append(s)
+                elif (m := MARKED.fullmatch(s)) and len(s) <= MEMO_KEY_BYTES:
+                    two.append((s, m[1], m[2]))
+                else:
+                    other.append(s)
+            pieces = self._recalled({w for _, w, _ in two}.difference(letters)), self._recalled({p for _, _, p in two})
+            letters += pieces[0]
+            other += pieces[1]
+        else:
+            other = list(new)
+        found = dict(zip(letters, self._words(letters), strict=True))
         texts_of = [s.decode() for s in other]
         marked = [s for s, t in zip(other, texts_of, strict=True) if self.mark and self.mark in t]
         if marked:
@@ -120,12 +147,20 @@ class Encoder:
                 found[stretch] = None
         long = {s: found.pop(s) for s in [s for s in found if len(s) > MEMO_KEY_BYTES]}
         memo |= found
+        memo |= {s: memo[w] + memo[p] for s, w, p in two}
         out = []
         for text, stretches in zip(texts, split, strict=True):
             known = [memo[s] if s in memo else long[s] for s in stretches] if long else list(map(memo.__getitem__, stretches))
             out.append(self._library([text.decode()])[0] if None in known else b"".join(known))
         return out
 
+    def _recalled(self, stretches: set[bytes]) -> set[bytes]:
+        """The stretches not yet known; those of the old generation move to the new one."""
+        new = stretches.difference(self.memo)
+        again = new.intersection(self.old)
+        self.memo |= {s: self.old[s] for s in again}
+        return new.difference(again)
+
 
 def byte_alphabet() -> str:
     """The character that stands for each byte in a byte-level vocabulary: itself where it
