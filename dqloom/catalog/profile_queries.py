@@ -615,17 +615,23 @@ def date_monotonic(spark, sf):
 
 # --- tables ---------------------------------------------------------------
 
-_DUP_COLUMNS = "l_linenumber, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"
+_REPEATED = "SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1"
 
 
-@register("duplicate_rows", f"""
-    WITH g AS (SELECT count(*) AS cnt FROM lineitem GROUP BY {_DUP_COLUMNS})
-    SELECT CAST(sum(cnt) AS BIGINT) AS row_count,
+@register("duplicate_rows", " UNION ALL ".join(f"""
+    SELECT '{name}' AS table_name, CAST(sum(cnt) AS BIGINT) AS row_count,
            CAST(coalesce(sum(cnt) FILTER (WHERE cnt > 1), 0) AS BIGINT) AS complete_duplicate_rows,
            CAST(coalesce(sum(cnt - 1) FILTER (WHERE cnt > 1), 0) AS BIGINT)
-               AS complete_duplicate_excess_count FROM g""")
+               AS complete_duplicate_excess_count
+    FROM (SELECT count(*) AS cnt FROM ({source}) GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+          l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)"""
+    for name, source in (("lineitem", "SELECT * FROM lineitem"), ("repeated", _REPEATED))))
 def duplicate_rows(spark, sf):
-    return tables.duplicate_rows(table(spark, sf, "lineitem").select(*_DUP_COLUMNS.split(", ")))
+    """All columns of lineitem, and of lineitem with its first lines twice."""
+    lines = table(spark, sf, "lineitem")
+    twice = lines.unionByName(lines.filter("l_linenumber = 1"))
+    named = [tables.duplicate_rows(df).withColumn("table_name", F.lit(name)) for name, df in (("lineitem", lines), ("repeated", twice))]
+    return named[0].unionByName(named[1])
 
 
 _FILLED = " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in CUSTOMER)

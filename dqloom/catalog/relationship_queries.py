@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from dqloom.catalog.inputs import table
@@ -77,6 +79,33 @@ def pk_candidates(spark, sf):
     return rel.pk_candidates(rel.key_profile(tables(spark, sf)))
 
 
+_SEARCHED = {t: [c for c, kind in TABLES[t].items() if kind != "real" or c == "l_quantity"] for t in ("lineitem", "orders", "part", "labels")}
+
+
+def _combinations() -> str:
+    """Every pair and triple of the searched columns with its measures."""
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS t, {list(combo)} AS cols, count(*) AS distinct_rows, coalesce(sum(n), 0)::BIGINT AS evaluated FROM (SELECT count(*) AS n FROM {t} "
+        f"WHERE {' AND '.join(f'{c} IS NOT NULL' for c in combo)} GROUP BY {', '.join(combo)})"
+        for t, columns in _SEARCHED.items() for size in (2, 3) for combo in itertools.combinations(columns, size))
+
+
+@register("key_candidates", f"""{_PROFILE},
+    e AS (SELECT table_name AS t, column_name AS c, d, n FROM q WHERE NOT measure AND d >= 2 AND d * 1.0 / nn < 0.95),
+    m AS MATERIALIZED ({_combinations()}),
+    a AS (SELECT m.t, cols, any_value(m.distinct_rows) AS k, any_value(evaluated) AS ev, product(e.d) AS cells, count(*) AS parts, any_value(e.n) AS n
+          FROM (SELECT *, unnest(cols) AS c FROM m) m JOIN e ON e.t = m.t AND e.c = m.c GROUP BY m.t, cols),
+    u AS (SELECT *, k * 100.0 / ev AS share FROM a WHERE parts = len(cols) AND cells >= 0.5 * n AND ev >= 0.5 * n AND k * 100.0 / ev >= 95),
+    b AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u s WHERE s.t = u.t AND len(s.cols) < len(u.cols) AND list_has_all(u.cols, s.cols)))
+    SELECT 'pk' AS kind, table_name, column_name AS key_columns, pk_score::DOUBLE AS score
+    FROM q WHERE pk_score >= 0.55 AND d * 100.0 / nn >= 95 AND NOT measure AND table_name IN ({", ".join(f"'{t}'" for t in _SEARCHED)})
+    UNION ALL SELECT 'composite_pk', t, array_to_string(cols, '+'), round(share / 100, 4)::DOUBLE FROM b WHERE share >= 98""")
+def key_candidates(spark, sf):
+    """Single and composite keys of four tables; names and brands of parts are no free text."""
+    found = rel.key_candidates({t: table(spark, sf, t) for t in _SEARCHED})
+    return found.withColumn("key_columns", F.array_join("key_columns", "+"))
+
+
 _SHARED = """
     k AS MATERIALIZED (SELECT DISTINCT t, c, k AS v FROM tall WHERE k IS NOT NULL),
     z AS MATERIALIZED (SELECT t, c, count(*) AS d, coalesce(bool_and(TRY_CAST(v AS DOUBLE) IS NOT NULL)

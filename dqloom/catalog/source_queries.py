@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dqloom.catalog.inputs import DIRTY, TABLES, dirty, dirty_sql, table
 from dqloom.catalog.registry import register
+from dqloom.catalog.relationship_queries import TABLES as COLUMNS
 from dqloom.operators import tables
 from dqloom.operators.counts import column_catalog
 from dqloom.plans.profile import (
@@ -133,14 +134,16 @@ def typed_columns(spark, sf):
     return column_catalog(typed(raw), "customer")
 
 
-@register("dataset_profile", "WITH t AS (" + " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS row_count, "
-    f"(SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS column_count, "
-    "CAST(0 AS BIGINT) AS null_count" for t in STAR
+_PROFILED = {**{t: list(COLUMNS[t]) for t in STAR}, "dirty_customer": list(DIRTY["customer"]), "dirty_orders": list(DIRTY["orders"])}
+
+
+@register("dataset_profile", f"WITH {dirty_sql('customer', 'orders')}, t AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count, CAST({len(columns)} AS BIGINT) AS column_count, "
+    f"{' + '.join(f'count(*) - count({c})' for c in columns)} AS null_count FROM {t}" for t, columns in _PROFILED.items()
 ) + """) SELECT * FROM t UNION ALL SELECT '(dataset)', CAST(sum(row_count) AS BIGINT),
     CAST(sum(column_count) AS BIGINT), CAST(sum(null_count) AS BIGINT) FROM t""")
 def full_dataset_profile(spark, sf):
-    return dataset_profile({t: table(spark, sf, t) for t in STAR})
+    return dataset_profile({t: dirty(spark, sf, t[6:]) if t.startswith("dirty_") else table(spark, sf, t) for t in _PROFILED})
 
 
 @register("column_profile")

@@ -1,9 +1,11 @@
 """Exact rank operators without putting a whole column into one task.
 
-Values are cut into ranges at approximate quantile points (a mergeable sketch of
-fixed size). Range totals give every range its rank offset; only then are rows
-ordered, inside one range at a time. The cut points steer the work and never the
-answer, so the result is exact whatever the sketch says.
+Values are cut into ranges at approximate quantile points. They come from KLL sketches:
+every map task builds one per column, groups of tasks merge theirs, and the few merged ones
+are merged again, so no task reads a sketch from every other task. A sketch has a fixed
+size. Range totals give every range its rank offset; only then are rows ordered, inside one
+range at a time. The cut points steer the work and never the answer, so the result is exact
+whatever the sketch says.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from dqloom.session import shuffle_width
 
 MAX_RANGES = 16_384
+SKETCH_LEAST, SKETCH_MOST = 400, 65_535
 
 
 def _count_below(bounds: Column, v: Column) -> Column:
@@ -27,30 +30,40 @@ def _count_below(bounds: Column, v: Column) -> Column:
     return F.when(block == 0, 0).otherwise((block - 1) * step + inside)
 
 
-def with_ranges(values: DataFrame, group: Sequence[str], order: str, weight: str) -> DataFrame:
+def cut_points(
+    values: DataFrame, group: Sequence[str], order: str, weight: str, points: Sequence[float]
+) -> DataFrame:
+    """(group…, flat): the values near the wanted shares of the rows with a weight."""
+    k = min(SKETCH_MOST, max(SKETCH_LEAST, 4 * len(points)))
+    # Tasks are dealt to about the square root of their number of merging groups.
+    merging = max(1, math.isqrt(shuffle_width(values.sparkSession)))
+    number = F.when(F.col(weight) > 0, F.col(order).cast("double"))
+    parts = values.groupBy(*group, F.pmod(F.spark_partition_id(), F.lit(merging)).alias("part")).agg(
+        F.kll_sketch_agg_double(number, k).alias("sketch"))
+    whole = parts.groupBy(*group).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"))
+    some = F.kll_sketch_get_n_double("sketch") > 0
+    found = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(p) for p in points]))
+    return whole.select(*group, F.when(some, found).otherwise(F.array().cast("array<double>")).alias("flat"))
+
+
+def with_ranges(
+    values: DataFrame, group: Sequence[str], order: str, weight: str, max_ranges: int = MAX_RANGES
+) -> DataFrame:
     """Add `rng`: ranges of `order` in ascending order, about evenly filled with rows."""
-    ranges = min(shuffle_width(values.sparkSession), MAX_RANGES)
+    ranges = min(shuffle_width(values.sparkSession), max_ranges)
     points = [i / ranges for i in range(1, ranges)]
     width = max(1, math.isqrt(len(points)))
-    # The weight takes part so that this branch reads the same columns as its
-    # siblings and the shuffle below can be reused instead of repeated.
-    sketch = F.percentile_approx(
-        F.when(F.col(weight) > 0, F.col(order)),
-        F.array(*[F.lit(p) for p in points]),
-        F.lit(max(10_000, 10 * ranges)),
-    )
     flat = F.array_sort(F.array_distinct(F.col("flat")))
     starts = F.sequence(F.lit(1), F.size(F.col("flat")), F.lit(width))
     bounds = (
-        values.groupBy(*group)
-        .agg(sketch.alias("flat"))
+        cut_points(values, group, order, weight, points)
         .withColumn("flat", flat)
         .select(
             *group,
             F.transform(starts, lambda i: F.slice(F.col("flat"), i, F.lit(width))).alias("bounds"),
         )
     )
-    # One row of at most MAX_RANGES numbers per column of the table: small by
+    # One row of at most `max_ranges` numbers per column of the table: small by
     # construction, whatever the number of rows.
     joined = values.join(F.broadcast(bounds), list(group))
     return joined.withColumn("rng", _count_below(F.col("bounds"), F.col(order))).drop("bounds")

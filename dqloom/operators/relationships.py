@@ -198,6 +198,31 @@ def _side(frame: DataFrame, role: str, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def key_candidates(tables: Mapping[str, DataFrame], free_text: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """K1-K3: single and composite key candidates (kind, table_name, key_columns, score).
+
+    Composite keys are searched among the columns that are no measure, and none of the
+    table's `free_text` columns. The profile's rows per column steer the search.
+    """
+    from dqloom.operators.tables import composite_candidates
+    from dqloom.plans.profile import small
+
+    profile = small(key_profile(tables))
+    out = pk_candidates(profile).select(
+        F.lit("pk").alias("kind"), "table_name", F.array("column_name").alias("key_columns"), F.col("pk_score").alias("score"))
+    rows = [r.asDict() for r in profile.collect()]
+    for name, df in tables.items():
+        told = set((free_text or {}).get(name, ()))
+        facts = [{**r, "is_constant": r["distinct_count"] <= 1, "is_float_measure": r["float_measure"], "is_free_text": r["column_name"] in told,
+                  "is_key_like": r["identifier_name_signal"]} for r in rows if r["table_name"] == name]
+        found = composite_candidates(df, facts, facts[0]["row_count"] if facts else 0)
+        columns = profile.filter(F.col("table_name") == name).select(
+            "column_name", "float_measure", F.col("column_name").isin(*told).alias("free_text"))
+        out = out.unionByName(composite_pk_candidates(found, columns).select(
+            F.lit("composite_pk").alias("kind"), F.lit(name).alias("table_name"), "key_columns", "score"))
+    return out
+
+
 def likely_keys(profile: DataFrame) -> DataFrame:
     """The columns that may be a parent: scored well as a key, or all of them where no
     column is."""

@@ -17,13 +17,19 @@ from dqloom.operators.frequency import Field
 from dqloom.operators.rules import Cell, Context, RuleError, parameters, template_of
 from dqloom.operators.tables import comparable, group_value
 
-INLINE_ENTRIES = 200
-INLINE_CHARACTERS = 200_000
+#: An automaton holds at most about this many characters of entries.
+SHARD_CHARACTERS = 2_000_000
 
 
 class KeyedRule:
     """A rule decided per key: `key` columns, rows it applies to, failing keys."""
 
+    #: When a group of equal keys fails, said about its fused counts; none if the keys
+    #: themselves must be looked at.
+    broken: str | None = None
+    dependent: Column | None = None
+    allowed: DataFrame | None = None
+
     def __init__(self, df: DataFrame, keys: list[Column], applicable: Column, counted: Column):
         self.df, self.keys, self.applicable, self.counted = df, keys, applicable, counted
         self.names = [f"key{i}" for i in range(len(keys))]
@@ -68,13 +74,17 @@ class KeyedRule:
 
 
 class _Repeated(KeyedRule):
+    broken = "cnt > 1"
+
     def bad_keys(self, groups):
-        return groups.filter("cnt > 1")
+        return groups.filter(self.broken)
 
 
 class _Inconsistent(KeyedRule):
     """Failing keys have more than one distinct dependent value."""
 
+    broken = "lo <> hi"
+
     def __init__(self, df, keys, applicable, counted, dependent: Column):
         super().__init__(df, keys, applicable, counted)
         self.dependent = dependent
@@ -92,12 +102,14 @@ class _Inconsistent(KeyedRule):
         )
 
     def bad_keys(self, groups):
-        return groups.filter(F.col("lo") != F.col("hi"))
+        return groups.filter(self.broken)
 
 
 class _Absent(KeyedRule):
     """Failing keys are absent from a frame of allowed keys."""
 
+    broken = "allowed IS NULL"
+
     def __init__(self, df, keys, applicable, counted, allowed: DataFrame):
         super().__init__(df, keys, applicable, counted)
         self.allowed = allowed
@@ -106,54 +118,126 @@ class _Absent(KeyedRule):
         return groups.join(self.allowed, self.names, "left_anti")
 
 
-class _NotContainingList(KeyedRule):
-    """Failing texts contain none of a short list of entries, tested row by row."""
-
-    def __init__(self, df, keys, applicable, counted, entries: list[str]):
-        super().__init__(df, keys, applicable, counted)
-        self.entries = entries
-
-    def bad_keys(self, groups):
-        listed = F.array(*[F.lit(e) for e in self.entries]).cast("array<string>")
-        return groups.filter(~F.exists(listed, lambda e: F.col("key0").contains(e)))
-
-
 class _NotContaining(_Absent):
-    """Failing texts contain none of the entries of a large reference.
-
-    Every entry is anchored by its first k characters (k a power of two up to 32).
-    Texts meet entries by equality of such k-character pieces, and only pairs that
-    share an anchor are compared in full.
+    """Failing texts contain none of the entries of a reference.
+
+    The entries are dealt to shards of about `SHARD_CHARACTERS`, each shard becomes one
+    Aho-Corasick automaton, and every distinct text is read once per shard, whatever the
+    entries' number and lengths and whatever they have in common. Entries that fit into one
+    shard are broadcast, so the texts stay where they are; with more, texts and shards meet
+    in tasks that hold one automaton, sorted so that a shard's entries come first, and the
+    texts stream past it. Shards are dealt by hash, so entries with a common start spread.
     """
 
-    ANCHORS = (1, 2, 4, 8, 16, 32)
+    broken = None
 
     def bad_keys(self, groups):
-        entry, key = F.col("entry"), F.col("key0")
-        k = F.lit(1)
-        for size in self.ANCHORS:
-            k = F.when(F.length(entry) >= size, size).otherwise(k)
-        entries = (
-            self.allowed.select(F.col("key0").alias("entry")).filter(entry != "")
-            .distinct().withColumn("k", k).withColumn("piece", F.substring(entry, F.lit(1), k))
-        )
-        texts = groups.select(key, F.sha2(key, 256).alias("id"))
-        # At most six sizes come back to the driver.
-        sizes = [r["k"] for r in entries.select("k").distinct().collect()]
-        if not self.allowed.filter(F.col("key0") == "").isEmpty():
+        entries = self.allowed.select(F.col("key0").alias("entry")).distinct()
+        size = entries.agg(F.coalesce(F.sum(F.length("entry") + 1), F.lit(0)).alias("n"),
+                           F.coalesce(F.bool_or(F.col("entry") == ""), F.lit(False)).alias("every")).first()
+        if size.every:
             return groups.filter(F.lit(False))  # every text contains the empty entry
-        matched = None
-        for size in sorted(sizes):
-            overlapping = F.regexp_extract_all(key, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
-            pieces = texts.select("id", F.explode(F.array_distinct(overlapping)).alias("piece"))
-            pairs = pieces.join(
-                entries.filter(F.col("k") == size).select("piece", "entry"), "piece"
-            ).select("id", "entry").distinct()
-            hit = pairs.join(texts, "id").filter(key.contains(entry)).select("key0")
-            matched = hit if matched is None else matched.unionByName(hit)
-        if matched is None:
+        if not size.n:
             return groups
-        return groups.join(matched.distinct(), "key0", "left_anti")
+        shards = -(-size.n // SHARD_CHARACTERS)
+        if shards == 1:
+            listed = sorted(r["entry"] for r in entries.collect())
+            return groups.mapInArrow(_unmatched(listed), groups.schema)
+        spark = groups.sparkSession
+        of = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
+        wide = groups.select("key0").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(int(shards) - 1)))).select(
+            "shard", F.lit(1).alias("kind"), F.col("key0").alias("text"))
+        both = entries.select(of("entry").alias("shard"), F.lit(0).alias("kind"), F.col("entry").alias("text")).unionByName(wide)
+        # A shard's texts are read in several tasks, each with its own copy of the automaton.
+        spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // int(shards))
+        piece = F.when(F.col("kind") == 1, F.pmod(F.xxhash64("text", F.lit("piece")), F.lit(spread)))
+        both = both.withColumn("piece", F.explode(F.when(piece.isNotNull(), F.array(piece)).otherwise(
+            F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))))
+        met = both.repartition("shard", "piece").sortWithinPartitions("shard", "piece", "kind").mapInArrow(_matched, "text string")
+        return groups.join(met.distinct(), F.col("key0") == F.col("text"), "left_anti")
+
+
+# Defined here so that tasks get the functions by value: workers need no install.
+def _unmatched(entries: list[str]):
+    def tested(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for e in entries:
+            automaton.add_word(e)
+        automaton.make_automaton()
+        for batch in batches:
+            texts = batch.column("key0").to_pylist()
+            keep = [t is None or next(automaton.iter(t), None) is None for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return tested
+
+
+def _matching():
+    def tested(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        at, automaton, open_ = None, None, False
+        for batch in batches:
+            found = []
+            for shard, piece, kind, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "piece", "kind", "text")), strict=True):
+                if (shard, piece) != at:
+                    at, automaton, open_ = (shard, piece), ahocorasick.Automaton(ahocorasick.STORE_LENGTH), False
+                if kind == 0:
+                    automaton.add_word(text)
+                    continue
+                if not open_:
+                    automaton.make_automaton()
+                    open_ = True
+                if text is not None and len(automaton) and next(automaton.iter(text), None) is not None:
+                    found.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["text"])
+
+    return tested
+
+
+_matched = _matching()
+
+
+def fused_counts(df: DataFrame, rules: Mapping[str, KeyedRule]) -> DataFrame:
+    """(rule_id, total_rows, applicable_rows, failed_rows) of many set rules of one table.
+
+    One scan and one grouping for all: a row is repeated once per rule as 128 bits of key
+    hash, a dependent's hash and two flags, and equal keys fold before the shuffle. Allowed
+    keys of all rules meet the groups in one join.
+    """
+    columns: list[Column] = []
+    allowed: DataFrame | None = None
+
+    def halves(keys: list[Column]) -> list[Column]:
+        told = [x for k in keys for x in (k, k.isNull())]
+        return [F.xxhash64(*told), F.xxhash64(F.lit("second"), *told)]
+
+    for i, rule in enumerate(rules.values()):
+        counted = F.coalesce(rule.counted, F.lit(False))
+        k, l = halves(rule.keys)
+        dependent = F.lit(None).cast("long") if rule.dependent is None else F.when(rule.dependent.isNotNull(), F.xxhash64(rule.dependent))
+        columns += [F.when(counted, k).alias(f"k{i}"), F.when(counted, l).alias(f"l{i}"), F.when(counted, dependent).alias(f"d{i}"),
+                    F.coalesce(rule.applicable, F.lit(False)).cast("long").alias(f"a{i}"), counted.cast("long").alias(f"c{i}")]
+        if rule.allowed is not None:
+            k, l = halves([F.col(n) for n in rule.names])
+            part = rule.allowed.select(F.lit(i).alias("rule"), k.alias("k"), l.alias("l"), F.lit(True).alias("allowed")).distinct()
+            allowed = part if allowed is None else allowed.unionByName(part)
+    groups = ", ".join(f"(k{i}, l{i}, d{i}, a{i}, c{i}) AS `{i}`" for i in range(len(rules)))
+    rows = df.sparkSession.sql(
+        f"SELECT CAST(rule AS INT) AS rule, k, l, d, a, c FROM {{wide}} UNPIVOT ((k, l, d, a, c) FOR rule IN ({groups}))", wide=df.select(*columns))
+    met = rows.groupBy("rule", "k", "l").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("c").alias("cnt"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    met = met.withColumn("allowed", F.lit(None).cast("boolean")) if allowed is None else met.join(allowed, ["rule", "k", "l"], "left")
+    broken = F.expr("CASE rule " + " ".join(f"WHEN {i} THEN {r.broken}" for i, r in enumerate(rules.values())) + " END")
+    names = F.array(*[F.lit(name) for name in rules])
+    return met.groupBy("rule").agg(
+        F.sum("n").alias("total_rows"), F.sum("a").alias("applicable_rows"),
+        F.coalesce(F.sum(F.when(F.col("k").isNotNull() & broken, F.col("cnt"))), F.lit(0)).alias("failed_rows"),
+    ).select(F.get(names, F.col("rule")).alias("rule_id"), "total_rows", "applicable_rows", "failed_rows")
 
 
 def _value(df: DataFrame, name: str) -> Column:
@@ -247,10 +331,6 @@ def _reference_lookup(df, rule, ctx: Context) -> KeyedRule:
     allowed = allowed.filter(F.col("key0").isNotNull()).distinct()
     key = canonical_key(cell.value, cell.dtype)
     if cell.is_text and str(params.get("match_mode", "exact")).lower() != "exact":
-        # Never more than one entry over the limit is fetched.
-        head = [r["key0"] for r in allowed.limit(INLINE_ENTRIES + 1).collect()]
-        if len(head) <= INLINE_ENTRIES and sum(map(len, head)) <= INLINE_CHARACTERS:
-            return _NotContainingList(df, [key], F.lit(True), cell.present, head)
         return _NotContaining(df, [key], F.lit(True), cell.present, allowed)
     return _Absent(df, [key], F.lit(True), cell.present, allowed)
 

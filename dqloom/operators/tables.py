@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Sequence
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqloom.functions.missing import NESTED, quoted, value_text
+from dqloom.operators import evidence
 from dqloom.operators.counts import percent
 from dqloom.operators.frequency import Field, fields_of
 
@@ -19,11 +21,7 @@ COMPOSITE_NEAR_EXACT = 99.9
 COMPOSITE_PIGEONHOLE = 0.5
 COMPOSITE_COVERAGE = 0.5
 COMPOSITE_MAX_COLUMNS = 3
-COMPOSITES_PER_JOB = 12
-SKETCHES_PER_JOB = 64
-SKETCH_LG_K = 16
-# Seven standard errors of merged sketches of that size.
-SKETCH_MARGIN = 7 * 1.04 / 2 ** (SKETCH_LG_K / 2)
+COMPOSITES_PER_SCAN = 128
 FD_COVERAGE = 98.0
 FD_MIN_ROWS = 30
 FD_UNIQUE_RATIO = 0.95
@@ -120,40 +118,34 @@ def composite_uniqueness(
 ) -> DataFrame:
     """B4 measures: exact distinct count of each listed column combination.
 
-    Rows with a null member are left out of their combination. Each row is
-    expanded once per combination of a batch and partially aggregated by key
-    before the shuffle.
+    Rows with a null member are left out of their combination. `COMPOSITES_PER_SCAN`
+    combinations are measured in one scan: a row is repeated once per combination, as 128
+    bits of hash, and partially aggregated before the one shuffle.
     """
+    if len(combinations) > COMPOSITES_PER_SCAN:
+        parts = [composite_uniqueness(df, combinations[at:at + COMPOSITES_PER_SCAN], row_count)
+                 for at in range(0, len(combinations), COMPOSITES_PER_SCAN)]
+        return functools.reduce(DataFrame.unionByName, parts)
     by_name = {f.name: f for f in fields_of(df)}
-    frames = []
-    for at in range(0, len(combinations), COMPOSITES_PER_JOB):
-        batch = list(combinations[at:at + COMPOSITES_PER_JOB])
-        args: list[Column] = []
-        for i, combo in enumerate(batch):
-            members = [group_value(by_name[c]) for c in combo]
-            complete = F.lit(True)
-            for m in members:
-                complete = complete & m.isNotNull()
-            # Length-prefixed text keeps ("a", "bc") and ("ab", "c") apart.
-            texts = [m.cast("string") for m in members]
-            parts = [F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts]
-            args += [F.lit(at + i), F.when(complete, F.concat(*parts))]
-        expanded = df.select(F.stack(F.lit(len(batch)), *args).alias("combo", "key")).filter(
-            F.col("key").isNotNull()
-        )
-        groups = expanded.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("cnt"))
-        frames.append(
-            groups.groupBy("combo").agg(
-                F.sum("cnt").alias("evaluated_row_count"),
-                F.count(F.lit(1)).alias("composite_distinct_count"),
-                F.coalesce(F.sum(F.when(F.col("cnt") > 1, F.col("cnt"))), F.lit(0)).alias(
-                    "duplicate_composite_rows"
-                ),
-            )
-        )
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
+    wide: list[Column] = []
+    for i, combo in enumerate(combinations):
+        members = [group_value(by_name[c]) for c in combo]
+        complete = F.lit(True)
+        for m in members:
+            complete = complete & m.isNotNull()
+        wide += [F.when(complete, F.xxhash64(*members)).alias(f"a{i}"),
+                 F.when(complete, F.xxhash64(F.lit("second"), *members)).alias(f"b{i}")]
+    pairs = ", ".join(f"(a{i}, b{i}) AS `{i}`" for i in range(len(combinations)))
+    expanded = df.sparkSession.sql(
+        f"SELECT CAST(combo AS INT) AS combo, a, b FROM {{wide}} UNPIVOT ((a, b) FOR combo IN ({pairs}))", wide=df.select(*wide))
+    groups = expanded.groupBy("combo", "a", "b").agg(F.count(F.lit(1)).alias("cnt"))
+    out = groups.groupBy("combo").agg(
+        F.sum("cnt").alias("evaluated_row_count"),
+        F.count(F.lit(1)).alias("composite_distinct_count"),
+        F.coalesce(F.sum(F.when(F.col("cnt") > 1, F.col("cnt"))), F.lit(0)).alias(
+            "duplicate_composite_rows"
+        ),
+    )
     labels = F.array(*[F.array(*[F.lit(c) for c in combo]) for combo in combinations])
     share = percent(F.col("composite_distinct_count"), F.col("evaluated_row_count"))
     return out.select(
@@ -177,10 +169,11 @@ def composite_candidates(
 
     `column_facts` is one small dict per column: name, distinct_count,
     non_null_count, is_constant, is_float_measure, is_free_text, is_key_like. The
-    pigeonhole bound (product of distinct counts) and minimality decide what is
-    measured; a sketch pass then drops combinations that are far from unique, and
-    the rest are counted exactly. There is no cap on evaluations unless one is asked
-    for.
+    pigeonhole bound (product of distinct counts) and minimality decide what could be
+    a key; a negative cover from sampled rows refutes most of that, and the rest is
+    counted exactly. The table is scanned twice for the cover, and once per size and
+    `COMPOSITES_PER_SCAN` combinations that are left.
+    There is no cap on evaluations unless one is asked for.
     """
     eligible = {
         c["column_name"]: c for c in column_facts
@@ -191,13 +184,21 @@ def composite_candidates(
     found: list[tuple] = []
     unique: set[frozenset[str]] = set()
     evaluated = 0
-    for size in range(2, min(width, len(eligible)) + 1):
-        combos = [
-            c for c in itertools.combinations(eligible, size)
-            if math.prod(eligible[x]["distinct_count"] for x in c)
-            >= COMPOSITE_PIGEONHOLE * row_count
-            and not any(frozenset(s) in unique for s in itertools.combinations(c, size - 1))
+    fields = [f for f in fields_of(df) if f.name in eligible]
+    distinct = [eligible[f.name]["distinct_count"] for f in fields]
+    least = COMPOSITE_PIGEONHOLE * row_count
+    width = min(width, len(fields))
+    refuted = None
+    for size in range(2, width + 1):
+        chosen = [
+            c for c in evidence.pigeonholed(distinct, size, least)
+            if not any(frozenset(fields[i].name for i in s) in unique for s in itertools.combinations(c, size - 1))
         ]
+        if not chosen:
+            continue
+        if refuted is None:
+            refuted = evidence.refuted_keys(df, fields, distinct, row_count, width, 1 - COMPOSITE_UNIQUENESS / 100, COMPOSITE_PIGEONHOLE)
+        combos = [tuple(fields[i].name for i in c) for c in chosen if c not in refuted]
         combos.sort(key=lambda c: (
             math.prod(eligible[x]["distinct_count"] for x in c),
             -sum(bool(eligible[x]["is_key_like"]) for x in c),
@@ -205,7 +206,6 @@ def composite_candidates(
         if max_evaluations is not None:
             combos = combos[: max(0, max_evaluations - evaluated)]
         evaluated += len(combos)
-        combos = _plausible(df, combos)
         if not combos:
             continue
         # One small row per combination comes back to steer the next level.
@@ -233,50 +233,6 @@ def composite_candidates(
     )
 
 
-def _plausible(df: DataFrame, combos: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """Combinations whose sketched distinct share is not hopeless.
-
-    The bar leaves seven standard errors of the sketch under the real one.
-    """
-    bar = COMPOSITE_UNIQUENESS / 100 * (1 - SKETCH_MARGIN)
-    sizes = sketched_distinct(df, combos)
-    return [c for c in combos if c in sizes and sizes[c][0] >= bar * sizes[c][1]]
-
-
-def sketched_distinct(
-    df: DataFrame, combos: Sequence[tuple[str, ...]]
-) -> dict[tuple[str, ...], tuple[float, int]]:
-    """Estimated distinct count and exact complete-row count per column combination.
-
-    One scan per batch and a fixed-size sketch per combination; no key is shuffled.
-    Only numbers per combination come back. Combinations without a complete row are
-    left out.
-    """
-    by_name = {f.name: f for f in fields_of(df)}
-    out: dict[tuple[str, ...], tuple[float, int]] = {}
-    for at in range(0, len(combos), SKETCHES_PER_JOB):
-        batch = list(combos[at:at + SKETCHES_PER_JOB])
-        args: list[Column] = []
-        for i, combo in enumerate(batch):
-            members = [group_value(by_name[c]) for c in combo]
-            complete = F.lit(True)
-            for m in members:
-                complete = complete & m.isNotNull()
-            args += [F.lit(i), F.when(complete, F.xxhash64(*members))]
-        sketched = (
-            df.select(F.stack(F.lit(len(batch)), *args).alias("combo", "key"))
-            .filter(F.col("key").isNotNull())
-            .groupBy("combo")
-            .agg(
-                F.hll_sketch_estimate(F.hll_sketch_agg("key", F.lit(SKETCH_LG_K))).alias("d"),
-                F.count("key").alias("n"),
-            )
-        )
-        for r in sketched.collect():
-            out[batch[r["combo"]]] = (float(r["d"]), r["n"])
-    return out
-
-
 # --- functional dependencies ----------------------------------------------
 
 
@@ -332,44 +288,72 @@ def dependency_coverage(
 
 
 def plausible_dependencies(
-    df: DataFrame, columns: Sequence[str], min_coverage: float = FD_COVERAGE
+    df: DataFrame, columns: Sequence[str], min_coverage: float = FD_COVERAGE, distinct: dict[str, int] | None = None,
+    row_count: int | None = None,
 ) -> dict[str, list[str]]:
-    """Dependents worth measuring per determinant.
+    """Dependents worth measuring per determinant: those that sampled rows don't refute.
 
-    Every row beyond the first of a broken group can add at most one pair value, so
-    distinct(A, B) - distinct(A) stays under the number of broken rows. Pairs whose
-    sketched counts exceed the allowed share by seven standard errors cannot hold.
+    Distinct counts and the row count steer how much is looked at; they are estimated
+    where they aren't given.
     """
-    pairs = list(itertools.combinations(columns, 2))
-    sizes = sketched_distinct(df, [(c,) for c in columns] + pairs)
-    out: dict[str, list[str]] = {a: [] for a in columns}
-    for a, b in pairs:
-        if (a, b) not in sizes:
-            continue
-        together, rows = sizes[(a, b)]
-        allowed = (1 - min_coverage / 100) * rows
-        for x, y in ((a, b), (b, a)):
-            alone = sizes[(x,)][0]
-            if together * (1 - SKETCH_MARGIN) - alone * (1 + SKETCH_MARGIN) <= allowed:
-                out[x].append(y)
-    return out
+    fields = [f for f in fields_of(df) if f.name in {*columns}]
+    if distinct is None or row_count is None:
+        facts = df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(evidence.hashed(f)) for f in fields]).first()
+        row_count, distinct = facts[0], {f.name: d for f, d in zip(fields, facts[1:], strict=True)}
+    refuted = evidence.refuted_dependencies(df, fields, 1 - min_coverage / 100, [distinct[f.name] for f in fields], row_count)
+    at = {f.name: i for i, f in enumerate(fields)}
+    return {a: [b for b in columns if a != b and not refuted[at[a], at[b]]] for a in columns}
+
+
+def measured_dependencies(df: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """B5 measures of the wanted pairs, in one grouping whatever the number of columns.
+
+    A row is repeated once per determinant, with the hashes of that determinant's own
+    dependents side by side. Groups are met by 128 bits of hash; within one, a dependent
+    is broken when its least hash differs from its greatest, and weighs its rows.
+    """
+    wanted = {a: bs for a, bs in wanted.items() if bs}
+    by_name = {f.name: f for f in fields_of(df)}
+    slots = range(max(map(len, wanted.values()), default=0))
+    used = sorted({b for bs in wanted.values() for b in bs})
+    at = {b: i for i, b in enumerate(used)}
+    keys = [(F.xxhash64(group_value(by_name[a])), F.xxhash64(F.lit("second"), group_value(by_name[a])), group_value(by_name[a]).isNotNull())
+            for a in wanted]
+    wide = df.select(
+        *[F.when(there, k).alias(f"k{i}") for i, (k, _, there) in enumerate(keys)],
+        *[F.when(there, k).alias(f"l{i}") for i, (_, k, there) in enumerate(keys)],
+        *[evidence.hashed(by_name[b]).alias(f"c{i}") for b, i in at.items()], F.lit(None).cast("long").alias("none"))
+    groups = ", ".join(
+        f"(k{i}, l{i}, " + ", ".join(f"c{at[bs[j]]}" if j < len(bs) else "none" for j in slots) + f") AS `{i}`"
+        for i, bs in enumerate(wanted.values()))
+    values = ", ".join(f"p{j}" for j in slots)
+    rows = df.sparkSession.sql(
+        f"SELECT CAST(a AS INT) AS a, k, l, {values} FROM {{wide}} UNPIVOT ((k, l, {values}) FOR a IN ({groups}))", wide=wide)
+    met = rows.where("k IS NOT NULL").groupBy("a", "k", "l").agg(*[
+        F.expr(f"{fn}(p{j}) AS {short}{j}") for j in slots for fn, short in (("count", "n"), ("min", "lo"), ("max", "hi"))])
+    sums = met.groupBy("a").agg(*[F.expr(text) for j in slots for text in (
+        f"coalesce(sum(n{j}), 0L) AS e{j}", f"coalesce(sum(CASE WHEN lo{j} <> hi{j} THEN n{j} END), 0L) AS v{j}",
+        f"count_if(lo{j} <> hi{j}) AS g{j}")])
+    names = list(wanted)
+    # One row per determinant comes back.
+    out = [(names[r.a], b, r[f"e{j}"], r[f"v{j}"], r[f"g{j}"], 100.0 * (1.0 - r[f"v{j}"] / r[f"e{j}"]))
+           for r in sums.collect() for j, b in enumerate(wanted[names[r.a]]) if r[f"e{j}"]]
+    return df.sparkSession.createDataFrame(out, FD_SCHEMA.rsplit(",", 1)[0])
 
 
 def functional_dependencies(
     df: DataFrame, determinants: Sequence[str], min_coverage: float = FD_COVERAGE,
-    min_rows: int = FD_MIN_ROWS,
+    min_rows: int = FD_MIN_ROWS, distinct: dict[str, int] | None = None, row_count: int | None = None,
 ) -> DataFrame:
-    """Pairs A -> B that hold on at least 98% of the rows, with direction."""
-    wanted = plausible_dependencies(df, determinants, min_coverage)
-    measured = [
-        dependency_coverage(df, [a], [a, *bs]) for a, bs in wanted.items() if bs
-    ]
-    if not measured:
+    """Pairs A -> B that hold on at least 98% of the rows, with direction.
+
+    The table is scanned for a sample, for what refutes pairs, and once for all that is
+    left; once more where the distinct counts aren't given.
+    """
+    wanted = plausible_dependencies(df, determinants, min_coverage, distinct, row_count)
+    if not any(wanted.values()):
         return df.sparkSession.createDataFrame([], FD_SCHEMA)
-    pairs = measured[0]
-    for part in measured[1:]:
-        pairs = pairs.unionByName(part)
-    pairs = pairs.filter(F.col("coverage_percentage") >= min_coverage)
+    pairs = measured_dependencies(df, wanted).filter(F.col("coverage_percentage") >= min_coverage)
     # At most two rows per window: a pair of columns and its reverse.
     both = Window.partitionBy(
         F.least("determinant", "dependent"), F.greatest("determinant", "dependent")

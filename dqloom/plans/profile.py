@@ -463,7 +463,8 @@ def table_dependencies(df: DataFrame, facts: list[dict]) -> DataFrame:
     if len(chosen) < 2:
         return df.sparkSession.createDataFrame([], tables.FD_SCHEMA)
     # Pairs of column names: evaluated once, as the reduction reads them four times.
-    pairs = small(tables.functional_dependencies(df, chosen))
+    counts_of = {c["column_name"]: c["distinct_count"] for c in facts}
+    pairs = small(tables.functional_dependencies(df, chosen, distinct=counts_of, row_count=facts[0]["row_count"]))
     return tables.reduce_dependencies(pairs).orderBy(
         F.col("coverage_percentage").desc(), "determinant", "dependent"
     )

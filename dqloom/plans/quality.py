@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +21,7 @@ from dqloom.operators.rules import (
     template_of,
     with_rates,
 )
-from dqloom.operators.setrules import set_rule
+from dqloom.operators.setrules import fused_counts, set_rule
 from dqloom.plans.profile import small
 
 RULE_SCHEMA = (
@@ -76,9 +77,10 @@ def run_rules(
 ) -> DataFrame:
     """Results of all approved rules; a rule that cannot run is an error row.
 
-    Row-level rules of one table share a scan; every set-level rule adds its own
-    aggregation. Results, one row per rule, are evaluated here: if a shared scan fails
-    on some value, its rules run one by one and only the failing ones become errors.
+    Row-level rules of one table share a scan, and so do its set-level rules, with one
+    grouping for all of them. The tables' frames are evaluated here, at the same time; they
+    have one row per rule. If a shared scan fails on some value, its rules run one by one
+    and only the failing ones become errors.
     """
     approved = [r for r in rules if r.get("status", "approved") == "approved"]
     parts: list[DataFrame] = []
@@ -96,9 +98,10 @@ def run_rules(
         except Exception as problem:  # noqa: BLE001 - any failure is an error result
             errors.append((rule_id, None, None, None, str(problem)[:200]))
 
+    shared: list[tuple[DataFrame, dict[str, Callable[[], DataFrame]]]] = []
     for table, members in by_table.items():
         df = ctx.tables.get(table)
-        compiled = {}
+        rows, sets = {}, {}
         for r in members:
             rule_id = str(r["rule_id"])
             try:
@@ -107,20 +110,36 @@ def run_rules(
                 if is_row_rule(r):
                     row = row_rule(df, r, ctx)
                     df.select(row.applicable, row.failed)
-                    compiled[rule_id] = row
+                    rows[rule_id] = row
+                else:
+                    keyed = set_rule(df, r, ctx)
+                    keyed.keyed()
+                    sets[rule_id] = keyed
             except Exception as problem:  # noqa: BLE001
                 errors.append((rule_id, None, None, None, str(problem)[:200]))
-                continue
-            if rule_id not in compiled:
-                attempt(rule_id, lambda r=r, df=df: set_rule(df, r, ctx).counts())
-        if compiled:
-            try:
-                parts.append(small(row_rule_counts(df, compiled).withColumn(
-                    "error_message", F.lit(None).cast("string")
-                )))
-            except Exception:  # noqa: BLE001 - one of them failed: which, only single runs tell
-                for rule_id, row in compiled.items():
-                    attempt(rule_id, lambda row=row, df=df: row_rule_counts(df, {"r": row}))
+        fused = {i: k for i, k in sets.items() if k.broken is not None}
+        if rows:
+            shared.append((row_rule_counts(df, rows), {i: lambda row=row, df=df: row_rule_counts(df, {"r": row}) for i, row in rows.items()}))
+        if fused:
+            shared.append((fused_counts(df, fused), {i: k.counts for i, k in fused.items()}))
+        for rule_id, keyed in sets.items():
+            if rule_id not in fused:
+                attempt(rule_id, keyed.counts)
+
+    def evaluated(counts: DataFrame) -> DataFrame | None:
+        try:
+            return small(counts.withColumn("error_message", F.lit(None).cast("string")))
+        except Exception:  # noqa: BLE001 - one of its rules failed: which, only single runs tell
+            return None
+
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        found = list(pool.map(evaluated, [counts for counts, _ in shared]))
+    for part, (_, single) in zip(found, shared, strict=True):
+        if part is not None:
+            parts.append(part)
+        else:
+            for rule_id, counts in single.items():
+                attempt(rule_id, counts)
     out = spark.createDataFrame(errors, COUNTS_SCHEMA)
     for part in parts:
         out = out.unionByName(part)
