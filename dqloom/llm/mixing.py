@@ -10,7 +10,9 @@ to within half a document.
 
 The ranking is cut without sorting a source: the ranks' order is preserved by a number that
 is nearly uniform, documents are summed in buckets of it, and only the bucket that holds
-the cut is put in order. Sources' totals are one row each.
+the cut is put in order. A source has at least `BUCKETS` buckets and more as it grows, of
+about `BUCKET_ROWS` rows. Sources' totals are one row each; the targets of all sources are
+set in one task, which thousands of them suit.
 
 Defined cases: a null source is one source, last in order; a null text has size 0; size-0
 documents may be taken and add nothing; null, zero or negative document weights count as
@@ -31,6 +33,7 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 SEED = "mix-1"
 BUCKETS = 1024
+BUCKET_ROWS = 50_000
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
@@ -58,7 +61,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 def mix(df: DataFrame, size_col: str = "size", weight_col: str | None = None, id_col: str = "doc_id",
         source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
-        max_copies: int = MAX_COPIES, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
+        max_copies: int = MAX_COPIES, seed: str = SEED, buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """`df` plus `source_size`, `target` (of its source) and `copies` (0 to `max_copies`).
 
     The frame is read several times: give it stored rows, with ids rather than texts.
@@ -72,7 +75,7 @@ def mix(df: DataFrame, size_col: str = "size", weight_col: str | None = None, id
                      ((shuffle_key(seed, F.col(id_col)) + F.lit(0.5)) / F.lit(float(1 << 52))).alias("u"))
     totals = rows.groupBy("src", "source").agg(
         F.sum("s").alias("source_size"), F.sum((F.col("v") * 1048576).cast("decimal(38,0)") * F.col("s")).alias("vs"),
-        F.max("v").alias("v_max"))
+        F.max("v").alias("v_max"), F.greatest(F.lit(buckets), F.ceil(F.count(F.lit(1)) / bucket_rows)).alias("buckets"))
     aims = targets(totals, weights, share, max_copies)
     rate = F.try_divide(F.col("target"), F.col("source_size"))
     mean = F.try_divide(F.col("vs").cast("double") / 1048576, F.col("source_size"))
@@ -96,7 +99,7 @@ def mix(df: DataFrame, size_col: str = "size", weight_col: str | None = None, id
     asked = stored(asked.select("src", rest.alias("rest"), (typical / (1 - typical)).alias("odds")), "asked")
     spread = F.col("q") * F.col("odds")
     drawn = drawn.join(asked, "src").withColumn(
-        "b", F.when(F.col("q").isNotNull(), F.floor(spread / (1 + spread) * buckets).cast("int")))
+        "b", F.when(F.col("q").isNotNull(), F.floor(spread / (1 + spread) * F.col("buckets")).cast("int")))
 
     before = W.partitionBy("src").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     sums = drawn.filter("b is not null").groupBy("src", "b").agg(F.sum("s").alias("n"))

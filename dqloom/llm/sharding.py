@@ -1,15 +1,18 @@
 """Sharding by proportional stratified interleaving.
 
 Rows are shuffled by a seeded hash within their source and ranked there; a row's
-fractional rank (rank - 1/2) / source size says where in the whole it belongs. Sorted by
-fractional rank, every stretch of rows has the sources in the mixture's proportion, and so
-has every shard that is cut from it. Shard sizes differ by one row at most.
+fractional rank (rank - offset) / source size says where in the whole it belongs. The offset
+is a seeded number in [0, 1) of the source's own, so that many sources of few rows spread
+evenly, too. Sorted by fractional rank, every stretch of rows has the sources in the
+mixture's proportion, and so has every shard that is cut from it. Shard sizes differ by one
+row at most.
 
 No source and no order is gathered in a task: hashes and fractional ranks are uniform, so
 both ranks are taken inside small buckets, after the offsets that the buckets' counts give.
 
-Defined cases: null sources are one source of their own; null ids and repeated rows are
-placed like any others (equal rows are interchangeable); with fewer rows than shards some
+Defined cases: null sources are one source of their own; null ids are told apart by their
+rows' other columns; repeated rows are placed like any others (equal rows are
+interchangeable); with fewer rows than shards some
 shards stay empty; an empty table gives an empty result; columns of the input named like
 results are replaced.
 """
@@ -39,6 +42,12 @@ def shuffle_key(seed: str, *columns: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
+def fraction(rank: Column, size: Column, src: Column, seed: str) -> Column:
+    """Where in the whole the source's row of a rank (from 1) belongs, in (0, 1]."""
+    offset = shuffle_key(seed, src) / F.lit(float(1 << 52))
+    return (rank.cast("double") - offset) / size.cast("double")
+
+
 def offsets(buckets: DataFrame, partition: list[str], order: str) -> DataFrame:
     """Counts per bucket with the rows that lie before, and the rows of the partition."""
     before = W.partitionBy(*partition).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -57,7 +66,9 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, seed: str = SEED, id_col:
     columns = df.columns
     total = df.count()
     pieces = max(8, math.ceil(total / bucket_rows))
-    key = shuffle_key(seed, F.col(id_col))
+    others = [F.col(f"`{c}`").cast("string") for c, t in df.dtypes if c != id_col and not t.startswith(("map", "variant", "array", "struct"))]
+    unnamed = F.when(F.col(id_col).isNull(), F.hex(F.xxhash64(*others))) if others else F.lit(None).cast("string")
+    key = shuffle_key(seed, F.coalesce(F.col(id_col).cast("string"), unnamed))
     keyed = df.select(F.struct("*").alias("row"), source_key(F.col(source_col)).alias("src"), key.alias("h"))
     keyed = keyed.withColumn("b", F.floor(F.col("h") * F.lit(pieces) / F.lit(float(1 << 52))).cast("int"))
     counts = offsets(keyed.groupBy("src", "b").agg(F.count(F.lit(1)).alias("n")), ["src"], "b")
@@ -65,8 +76,9 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, seed: str = SEED, id_col:
         c for c, t in df.dtypes if c != id_col and not t.startswith(("map", "variant"))]]]
     ranked = keyed.join(counts, ["src", "b"]).select(
         "row", "src", (F.col("before") + F.row_number().over(W.partitionBy("src", "b").orderBy(*ordered))).alias("rank"), "all")
-    ranked = ranked.withColumn("f", (2 * F.col("rank") - 1) / (2 * F.col("all")))
-    ranked = stored(ranked.select("row", "src", "f", F.floor(F.col("f") * pieces).cast("int").alias("b")), "ranked")
+    ranked = ranked.withColumn("f", fraction(F.col("rank"), F.col("all"), F.col("src"), seed))
+    bucket = F.least(F.floor(F.col("f") * pieces), F.lit(pieces - 1)).cast("int")
+    ranked = stored(ranked.select("row", "src", "f", bucket.alias("b")), "ranked")
     places = offsets(ranked.groupBy("b").agg(F.count(F.lit(1)).alias("n")), [], "b").select("b", "before")
     placed = ranked.join(places, "b").withColumn(
         "pos", F.col("before") + F.row_number().over(W.partitionBy("b").orderBy("f", "src")) - 1)
@@ -105,8 +117,9 @@ c AS (SELECT doc_id, source, strlen(t) + 8 AS size,
           lambda a, b: xor(a >> 8, {crc_table()}[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM d),
 k AS (SELECT *, coalesce('=' || source, '') AS src,
       ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS h FROM c),
-r AS (SELECT *, (2 * row_number() OVER (PARTITION BY src ORDER BY h, doc_id, source, size, crc) - 1)::DOUBLE
-      / (2 * count(*) OVER (PARTITION BY src))::DOUBLE AS f FROM k),
+r AS (SELECT *, ((row_number() OVER (PARTITION BY src ORDER BY h, doc_id, source, size, crc))::DOUBLE
+      - ('0x' || substr(md5('{SEED}:' || src), 1, 13))::BIGINT / {1 << 52}::DOUBLE)
+      / (count(*) OVER (PARTITION BY src))::DOUBLE AS f FROM k),
 p AS (SELECT *, row_number() OVER (ORDER BY f, src) - 1 AS pos, count(*) OVER () AS n FROM r)
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, ((pos * {SHARDS}) // n)::INTEGER AS shard,
        (pos - (((pos * {SHARDS}) // n) * n + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INTEGER AS grown_shard

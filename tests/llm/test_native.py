@@ -88,6 +88,28 @@ def test_sharding_law_and_mixture(spark, odd):
     assert sharding.assign_shards(empty(odd)).count() == 0
 
 
+def test_many_small_sources_spread(spark):
+    sources = spark.range(10_000).select(F.concat(F.lit("="), "id").alias("src"))
+    places = Counter(int(r.f * 20) for r in sources.select(
+        sharding.fraction(F.lit(1), F.lit(1), F.col("src"), sharding.SEED).alias("f")).collect())
+    assert set(places) <= set(range(21)) and all(400 < places[b] < 600 for b in range(20))
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"),
+                                    F.when(F.col("id") < 2000, F.col("id").cast("string")).otherwise("big").alias("source"), F.col("id").alias("size"))
+    got = sharding.assign_shards(rows, shards=7, bucket_rows=100).collect()
+    big = Counter(r.shard for r in got if r.source == "big")
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == 4000 and max(sizes.values()) - min(sizes.values()) <= 1 and all(abs(n - 2000 / 7) < 60 for n in big.values())
+    assert len({r.shard for r in got if r.doc_id is None}) == 7
+    assert sorted(map(str, got)) == sorted(map(str, sharding.assign_shards(rows.repartition(9), shards=7, bucket_rows=100).collect()))
+
+
+def test_mixing_does_not_depend_on_its_buckets(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"),
+                                    (F.pmod(F.xxhash64("id"), F.lit(90)) + 1).alias("size"))
+    taken = [sorted((r.doc_id, r.copies) for r in mixing.mix(rows, buckets=n, bucket_rows=each).collect()) for n, each in ((1024, 50_000), (1, 50_000), (4, 7))]
+    assert taken[0] == taken[1] == taken[2]
+
+
 def test_sharding_query(spark, sf):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = sharding.op3_query(spark, sf).collect()
