@@ -33,7 +33,8 @@ def _count_below(bounds: Column, v: Column) -> Column:
 def cut_points(
     values: DataFrame, group: Sequence[str], order: str, weight: str, points: Sequence[float]
 ) -> DataFrame:
-    """(group…, flat): the values near the wanted shares of the rows with a weight."""
+    """(group…, flat): the values near the wanted shares of the rows with a weight, null
+    where no row has one."""
     k = min(SKETCH_MOST, max(SKETCH_LEAST, 4 * len(points)))
     # Tasks are dealt to about the square root of their number of merging groups.
     merging = max(1, math.isqrt(shuffle_width(values.sparkSession)))
@@ -43,7 +44,7 @@ def cut_points(
     whole = parts.groupBy(*group).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"))
     some = F.kll_sketch_get_n_double("sketch") > 0
     found = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(p) for p in points]))
-    return whole.select(*group, F.when(some, found).otherwise(F.array().cast("array<double>")).alias("flat"))
+    return whole.select(*group, F.when(some, found).alias("flat"))
 
 
 def with_ranges(
