@@ -29,6 +29,7 @@ from .common import stored, text_or_empty
 
 SHARDS = 24
 SEED = "shards-1"
+LEAST_BUCKETS = 64
 
 
 def source_key(source: Column) -> Column:
@@ -65,7 +66,7 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, seed: str = SEED, id_col:
     df = df.drop(*[c for c in ("shard", "slot") if c not in (id_col, source_col)])
     columns = df.columns
     total = df.count()
-    pieces = max(8, math.ceil(total / bucket_rows))
+    pieces = max(LEAST_BUCKETS, math.ceil(total / bucket_rows))
     others = [F.col(f"`{c}`").cast("string") for c, t in df.dtypes if c != id_col and not t.startswith(("map", "variant", "array", "struct"))]
     unnamed = F.when(F.col(id_col).isNull(), F.hex(F.xxhash64(*others))) if others else F.lit(None).cast("string")
     key = shuffle_key(seed, F.coalesce(F.col(id_col).cast("string"), unnamed))
