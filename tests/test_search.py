@@ -77,7 +77,7 @@ def test_keys_of_sixty_columns_equal_plain_counts_in_few_jobs(spark):
 
 
 def test_most_combinations_are_refuted_and_no_key_is(spark):
-    df, frame = wide(spark)
+    df, frame = wide(spark, columns=30)
     fields = tables.fields_of(df)
     distinct = [f["distinct_count"] for f in facts(frame)]
     refuted = evidence.refuted_keys(df, fields, distinct, len(frame), 3, 0.05, 0.5)
@@ -100,11 +100,11 @@ def plain_dependencies(frame, least):
 
 @pytest.mark.parametrize("least", [98.0, 100.0])
 def test_dependencies_of_many_columns_equal_plain_counts_in_few_jobs(spark, least):
-    df, frame = wide(spark)
+    df, frame = wide(spark, columns=30)
     found, count = jobs(spark, lambda: tables.functional_dependencies(df, list(frame.columns), least).collect())
     got = {(r.determinant, r.dependent): (r.evaluated_rows, r.violating_rows) for r in found}
     wanted = plain_dependencies(frame, least)
-    assert got == wanted and len(got) >= 5 and count <= 15
+    assert got == wanted and len(got) >= 3 and count <= 15
     assert all(r.bidirectional == ((r.dependent, r.determinant) in got) for r in found)
 
 
