@@ -28,7 +28,6 @@ store; other columns are not stored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import os
@@ -54,11 +53,10 @@ BLOCK_BYTES = 1 << 20
 MEMO_ENTRIES = 500_000
 LEVEL = 3
 STRETCH = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-#: ASCII and Latin-1 letters, in UTF-8, after at most one space, are one word to the
-#: tokenizer; ASCII punctuation after them is a second one.
-WORD = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
-#: Stands for a stretch that can't be told apart from its text.
-WHOLE = b""
+#: ASCII and Latin-1 letters, in UTF-8, after at most one space: one word to the tokenizer.
+LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Such a word and ASCII punctuation after it: two words to the tokenizer.
+MARKED = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)")
 #: White space beyond ASCII, next to which a text must not be cut, in UTF-8.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -80,7 +78,7 @@ class Encoder:
         self.code = "H" if self.library.get_vocab_size(True) <= 1 << 16 else "I"
         special = [t.content for t in self.library.get_added_tokens_decoder().values() if t.special and not t.lstrip and not t.rstrip]
         self.mark = special[0] if special else None
-        self.alphabet = dict(enumerate(byte_alphabet())) | {10: " "}
+        self.alphabet = dict(enumerate(byte_alphabet()))
         self.words = None
         splitter = json.loads(text)["pre_tokenizer"] or {}
         if splitter.get("type") == "ByteLevel" and splitter["use_regex"] and not splitter["add_prefix_space"]:
@@ -89,8 +87,8 @@ class Encoder:
             self.between = "!"
             if len(self.words.encode(self.between).ids) != 1:
                 self.words = None
-        self.memo: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.memo: dict[bytes, bytes | None] = {}
+        self.old: dict[bytes, bytes | None] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Texts without the mark, a special token, are encoded in one
@@ -109,67 +107,59 @@ class Encoder:
         is one token and can't be part of theirs."""
         if not words:
             return []
-        joined = f"\n{self.between}\n".encode().join(words).decode("latin-1").translate(self.alphabet)
+        joined = f" {self.between} ".join([w.decode("latin-1").translate(self.alphabet) for w in words])
         ids = np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.code)
-        ends = (np.append(np.flatnonzero(ids == self.words.token_to_id(self.between)), len(ids)) * ids.itemsize).tolist()
+        ends = np.append(np.flatnonzero(ids == self.words.token_to_id(self.between)), len(ids)) * ids.itemsize
         raw, width = ids.tobytes(), ids.itemsize
+        ends = ends.tolist()
         return [raw[a:b] for a, b in zip([0, *[e + width for e in ends]], ends, strict=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text. Nothing here makes cycles, and looking for some among so
-        many small objects costs a fifth of the time, so it waits until the end."""
-        collecting = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.memo) > MEMO_ENTRIES:
             self.old, self.memo = self.memo, {}
-        known = self.memo.get
-        split = [STRETCH.findall(t) for t in texts]
-        ids = [list(map(known, stretches)) for stretches in split]
-        open_ = [i for i, found in enumerate(ids) if None in found]
-        found = self._new(self._recalled({s for i in open_ for s, x in zip(split[i], ids[i], strict=True) if x is None}))
-        for i in open_:
-            ids[i] = [(known(s) if (y := found.get(s)) is None else y) if x is None else x for s, x in zip(split[i], ids[i], strict=True)]
-        return [self._library([t.decode()])[0] if WHOLE in x else b"".join(x) for t, x in zip(texts, ids, strict=True)]
+        memo, split = self.memo, [STRETCH.findall(t) for t in texts]
+        new = self._recalled(set().union(*split))
+        two, letters, other = [], [], []
+        if self.words:
+            # A word with punctuation is put together from its two pieces.
+            for s in new:
+                if LETTERS.fullmatch(s):
+                    letters.append(s)
+                elif (m := MARKED.fullmatch(s)) and len(s) <= MEMO_KEY_BYTES:
+                    two.append((s, m[1], m[2]))
+                else:
+                    other.append(s)
+            pieces = self._recalled({w for _, w, _ in two}.difference(letters)), self._recalled({p for _, _, p in two})
+            letters += pieces[0]
+            other += pieces[1]
+        else:
+            other = list(new)
+        found = dict(zip(letters, self._words(letters), strict=True))
+        texts_of = [s.decode() for s in other]
+        marked = [s for s, t in zip(other, texts_of, strict=True) if self.mark and self.mark in t]
+        if marked:
+            other = [s for s in other if s not in set(marked)]
+            texts_of = [s.decode() for s in other]
+            found |= dict(zip(marked, self._library([s.decode() for s in marked]), strict=True))
+        found |= dict(zip(other, self._library(texts_of), strict=True))
+        for stretch, text in zip(other, texts_of, strict=True):
+            if OTHER_SPACE.search(text):
+                found[stretch] = None
+        long = {s: found.pop(s) for s in [s for s in found if len(s) > MEMO_KEY_BYTES]}
+        memo |= found
+        memo |= {s: memo[w] + memo[p] for s, w, p in two}
+        out = []
+        for text, stretches in zip(texts, split, strict=True):
+            known = [memo[s] if s in memo else long[s] for s in stretches] if long else list(map(memo.__getitem__, stretches))
+            out.append(self._library([text.decode()])[0] if None in known else b"".join(known))
+        return out
 
     def _recalled(self, stretches: set[bytes]) -> set[bytes]:
         """The stretches not yet known; those of the old generation move to the new one."""
-        if not self.old:
-            return stretches
-        again = stretches.intersection(self.old)
+        new = stretches.difference(self.memo)
+        again = new.intersection(self.old)
         self.memo |= {s: self.old[s] for s in again}
-        return stretches.difference(again)
-
-    def _new(self, stretches: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of new stretches; those of moderate length are remembered."""
-        memo, two, letters, other = self.memo, [], set(), set()
-        match = WORD.fullmatch if self.words else lambda s: None
-        for s in stretches:
-            if (m := match(s)) is None:
-                other.add(s)
-            elif m[2]:
-                two.append((s, m[1], m[2]))
-            else:
-                letters.add(s)
-        # A word with punctuation is put together from its two pieces.
-        letters |= self._recalled({w for _, w, _ in two if w not in memo})
-        other |= self._recalled({p for _, _, p in two if p not in memo})
-        found = dict(zip(letters, self._words(list(letters)), strict=True))
-        plain = {s: s.decode() for s in other}
-        marked = [s for s, t in plain.items() if self.mark and self.mark in t]
-        found |= dict(zip(marked, self._library([plain.pop(s) for s in marked]), strict=True)) if marked else {}
-        found |= dict(zip(plain, self._library(list(plain.values())), strict=True))
-        found |= {s: WHOLE for s in other if OTHER_SPACE.search(s.decode())}
-        for s, w, p in two:
-            found[s] = (memo[w] if w in memo else found[w]) + (memo[p] if p in memo else found[p])
-        memo |= {s: x for s, x in found.items() if len(s) <= MEMO_KEY_BYTES}
-        return found
+        return new.difference(again)
 
 
 def byte_alphabet() -> str:
